@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -64,7 +65,7 @@ def bounded(batches, rows: int, chars: int, column: str):
     """Slice Arrow batches so that each slice has at most `rows` rows and, but for single rows, `chars` bytes of column."""
     for batch in batches:
         col = batch.column(column)
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
         start = 0
         while start < len(sizes):
             run = np.cumsum(sizes[start : start + rows])
