@@ -14,6 +14,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip_digests
 
@@ -22,6 +28,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_hmm_score": op2_hmm_score,
     "op3_byte_bpe": op3_byte_bpe,
 }
 
