@@ -26,10 +26,17 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_hmm_score": op2_hmm_score,
     "op3_byte_bpe": op3_byte_bpe,
+    "op10_minhash_neardup": op10_minhash_neardup,
 }
 
 ORACLE: dict[str, str] = {}
