@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality
 from .common import table
 
 
@@ -26,6 +27,16 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import predicted
+
+    return predicted(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -36,7 +47,9 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_hmm_score": op2_hmm_score,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_language": op4_language,
+    "op9_quality_rules": op9_quality_rules,
     "op10_minhash_neardup": op10_minhash_neardup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op9_quality_rules": quality.ORACLE_SQL}
