@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import quality, topk
 from .common import table
 
 
@@ -33,6 +33,16 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judged
+
+    return judged(table(spark, sf_dir, "pages"))
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
@@ -48,8 +58,10 @@ QUERIES = {
     "op2_hmm_score": op2_hmm_score,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_language": op4_language,
+    "op6_url_filter": op6_url_filter,
+    "op7_exact_topk": op7_exact_topk,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash_neardup": op10_minhash_neardup,
 }
 
-ORACLE: dict[str, str] = {"op9_quality_rules": quality.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op7_exact_topk": topk.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL}
