@@ -33,6 +33,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extract import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import judged
 
@@ -58,6 +64,7 @@ QUERIES = {
     "op2_hmm_score": op2_hmm_score,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_language": op4_language,
+    "op5_html_text": op5_html_text,
     "op6_url_filter": op6_url_filter,
     "op7_exact_topk": op7_exact_topk,
     "op9_quality_rules": op9_quality_rules,
