@@ -49,8 +49,8 @@ def text_features(b: Block, at: int, n: int) -> set[str]:
         out.add("ends:sentence")
     if "©" in b.text or "(c)" in b.text:
         out.add("has:copyright")
-    if "|" in b.text or "·" in b.text or "»" in b.text:
-        out.add("has:bar")
+    if "·" in b.text or "»" in b.text:
+        out.add("has:dot")
     if words < 12 and _DATE.search(b.text):
         out.add("has:date")
     if at == 0:
@@ -81,7 +81,7 @@ _SYLLABLES = "an be ca do en fa go hi in ja ka lo mi no or pa qui ra si to un va
 def _sentence(r: random.Random, low: int, high: int, junk: float = 0.0) -> str:
     words = ["".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4))) for _ in range(r.randint(low, high))]
     if r.random() < junk:
-        words = [w + r.choice(["%%%", "###", "***", "&amp;&amp;", " |", "$$$"]) for w in words]
+        words = [w + r.choice(["%%%", "###", "***", "&amp;&amp;", " |", "$$$", " &middot;"]) for w in words]
     return " ".join(words).capitalize() + r.choice([".", ".", ".", "!", "?", "", ","])
 
 
@@ -92,6 +92,8 @@ class _Writer:
         self.r, self.html, self.labels = r, [], []
 
     def put(self, tag: str, text: str, label: int, inside: str = "") -> None:
+        if not label and self.r.random() < 0.12:
+            text = f"<b>{text}</b>" if self.r.random() < 0.5 else f"<b>{text}<br>"
         close = f"</{tag}>" if tag not in ("p", "li") or self.r.random() < 0.8 else ""
         self.html.append(f"<{tag}{inside}>{text}{close}")
         self.labels.append(label)
@@ -117,6 +119,14 @@ class _Writer:
         if tag in ("div", "section", "ol", "ul") and not names:
             names = f' class="{r.choice(REST_NAMES[kind])}"'
         h.append(f"<{tag}{names}>")
+        if r.random() < 0.3:  # text of the element itself
+            sign = r.choice(["&copy; example.com &middot; ", "&copy; ", ""]) if kind == "footer" else r.choice(["", "", "&raquo; "])
+            h.append(sign + _sentence(r, 1, 25))
+            self.labels.append(0)
+            if r.random() < 0.5:
+                h.append(f"</{tag}>")
+                return
+            h.append("<hr>")
         if kind in ("nav", "share"):
             h.append("<ul>")
             self.links()
@@ -193,7 +203,10 @@ class _Writer:
                 self.put("td", _sentence(r, 1, 5), 1)
                 self.put("td", _sentence(r, 1, 5), 1)
                 h.append("</tr></table>")
-            elif x < 0.93:
+            elif x < 0.92:
+                h.append(_sentence(r, 5, 30, junk) + "<hr>")
+                self.labels.append(1)
+            elif x < 0.94:
                 self.put("pre", _sentence(r, 3, 10), 1)
             else:
                 self.rest(r.choice(["ad", "side", "share", "form", "notice"]))
