@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, topk
+from . import chat, quality, topk
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
@@ -67,8 +71,9 @@ QUERIES = {
     "op5_html_text": op5_html_text,
     "op6_url_filter": op6_url_filter,
     "op7_exact_topk": op7_exact_topk,
+    "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
     "op10_minhash_neardup": op10_minhash_neardup,
 }
 
-ORACLE: dict[str, str] = {"op7_exact_topk": topk.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op7_exact_topk": topk.ORACLE_SQL, "op8_chat_format": chat.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL}
