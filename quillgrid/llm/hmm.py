@@ -21,6 +21,7 @@ repeated rows count each; an empty table gives no rows; without training rows al
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import bounded, remainder, stage, words
 
@@ -274,8 +276,8 @@ def block_scores(blocks: DataFrame, model: Model) -> DataFrame:
         own_log = np.log10(m.own_counts + ADD)
         per_token = np.log10(m.total + ADD * (m.distinct + 1))
         for part in batches:
-            rows = []
-            for lengths, classes in zip(part.column("lengths").to_pylist(), part.column("classes").to_pylist()):
+            heads = []
+            for keys, held, lengths, classes in zip(*(part.column(c).to_pylist() for c in ("ids", "held", "lengths", "classes"))):
                 flat = np.frombuffer(classes, dtype=np.uint16).astype(np.int64)
                 ends = np.cumsum(lengths)
                 doc = np.repeat(np.arange(len(lengths)), lengths)
@@ -284,15 +286,15 @@ def block_scores(blocks: DataFrame, model: Model) -> DataFrame:
                 base = total(top, own_log[flat[top]]) - np.array(lengths) * per_token
                 known = total(top, m.own_counts[flat[top]] > 0)
                 score = log_likelihoods(np.split(flat, ends[:-1]), m) - total(~top, m.tail_log[flat[~top] - m.own])
-                rows.append((base, known, score))
-            yield pa.RecordBatch.from_arrays([part.column("block"), part.column("ids"), part.column("held"), part.column("lengths"), *(pa.array([r[i] for r in rows], pa.list_(pa.float64())) for i in range(3))], ["block", "ids", "held", "lengths", "base", "known", "score"])
+                heads.append(pickle.dumps((keys, held, lengths, base, known, score)))
+            yield pa.RecordBatch.from_arrays([part.column("block"), pa.array(heads, pa.binary())], ["block", "head"])
 
-    kind = blocks.schema["ids"].dataType.simpleString()
-    return blocks.where("kind = 0").select("block", "ids", "held", "lengths", "classes").mapInArrow(run, f"block bigint, ids {kind}, held array<boolean>, lengths array<int>, base array<double>, known array<double>, score array<double>")
+    return blocks.where("kind = 0").select("block", "ids", "held", "lengths", "classes").mapInArrow(run, "block bigint, head binary")
 
 
-def combined(parts: DataFrame, id_col: str, kind: str, total: int) -> DataFrame:
+def combined(parts: DataFrame, id_col: str, kind, total: int) -> DataFrame:
     """Add the words' contributions up by block and give a row for each document."""
+    arrow = to_arrow_type(kind)
 
     def run(batches):
         logs, hits, heads = {}, {}, {}
@@ -301,7 +303,7 @@ def combined(parts: DataFrame, id_col: str, kind: str, total: int) -> DataFrame:
             spans = part.column("at")
             rows = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
             for i in np.flatnonzero(spans.is_null().to_numpy(zero_copy_only=False)):
-                heads[int(block[i])] = part.slice(i, 1).to_pylist()[0]
+                heads[int(block[i])] = pickle.loads(part.column("head")[int(i)].as_py())
             if not len(rows):
                 continue
             spans, block = spans.take(pa.array(rows)), block[rows]
@@ -319,18 +321,18 @@ def combined(parts: DataFrame, id_col: str, kind: str, total: int) -> DataFrame:
                         old, new = new, old
                     old[: len(new)] += new
                     sums[int(b)] = old
-        for b, h in heads.items():
-            docs = len(h["lengths"])
-            fit = lambda x: np.pad(x, (0, docs - len(x)))  # noqa: B023, E731
+        for b, (keys, held, lengths, base, known, score) in heads.items():
+            fit = lambda x: np.pad(x, (0, len(lengths) - len(x)))  # noqa: B023, E731
             log, hit = fit(logs.get(b, np.zeros(0))), fit(hits.get(b, np.zeros(0)))
-            yield pa.RecordBatch.from_arrays([pa.array(h["ids"], part.schema.field("ids").type.value_type), pa.array(h["held"]), pa.array(h["lengths"], pa.int64()), pa.array((np.array(h["known"]) + hit).astype(np.int64)), pa.array(np.full(docs, total, np.int64)), pa.array(np.array(h["base"]) + log), pa.array(np.array(h["score"]) + log)], [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            cols = [pa.array(keys, arrow), pa.array(held), pa.array(lengths, pa.int64()), pa.array((known + hit).astype(np.int64)), pa.array(np.full(len(lengths), total, np.int64)), pa.array(base + log), pa.array(score + log)]
+            yield pa.RecordBatch.from_arrays(cols, [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return parts.repartition("block").mapInArrow(run, f"{id_col} {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return parts.repartition("block").mapInArrow(run, f"{id_col} {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def score_documents(docs: DataFrame, modulus: int = 10, held: int = 0, top_words: int = TOP_WORDS, states: int = STATES, iterations: int = ITERATIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on the rows whose crc32(id) mod modulus is not `held`, and score every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType
     counts = stage(word_counts(docs, id_col, text_col, modulus, held), "lm-counts")
     model = untrained(counts, top_words)
     blocks = stage(encoded_blocks(docs, model, id_col, text_col, modulus, held), "lm-blocks")
