@@ -162,6 +162,12 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return docs.select(*(f"`{f.name}`" for f in own)).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
+def filtered(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs whose language is told with a score of at least `least`, with all their columns."""
+    out = identify(docs, fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), id_col, text_col, keep=True)
+    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*(f"`{c}`" for c in docs.columns))
+
+
 def predicted(docs: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row, with a model that learned from the other folds."""
     out = identify(docs, fit(docs, modulus, held))

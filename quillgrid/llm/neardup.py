@@ -100,6 +100,12 @@ def signature(members: np.ndarray) -> bytes:
     return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
+def digests(members: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit digests of a set, as signed numbers; 0 for the empty set."""
+    salts = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
+    return tuple(int(mix(members ^ s).sum(dtype=np.uint64).astype(np.int64)) for s in salts)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, two 64-bit digests of the set, signature; null for an empty set) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -109,8 +115,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             n, one, two, sig = [], [], [], []
             for s in shingle_sets(part.column(text_col).to_pylist()):
                 n.append(len(s))
-                one.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
-                two.append(int(mix(s + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
+                for own, digest in zip((one, two), digests(s)):
+                    own.append(digest)
                 sig.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary())], [id_col, "n_shingles", "h1", "h2", "sig"])
 
@@ -288,8 +294,8 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, simi
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row; ids must be integers."""
+def classified(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, h1, h2, component_id, kept) of every row; ids must be integers."""
     kind = docs.schema[id_col].dataType.simpleString()
     sigs = stage(signatures(docs, id_col, text_col), "signatures")
     classes = sigs.where(f"n_shingles > 0 and {id_col} is not null").groupBy("h1", "h2", "n_shingles").agg(F.min(F.col(id_col).cast("bigint")).alias("node"), F.min("sig").alias("sig"))
@@ -307,4 +313,48 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str =
     of_class = classes.join(of_component, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     out = sigs.join(of_class, ["h1", "h2", "n_shingles"], "left")
     least = F.when(F.col(id_col).isNotNull(), F.coalesce("component_id", id_col)).cast(kind)
-    return out.select(id_col, "n_shingles", least.alias("component_id"), F.col(id_col).eqNullSafe(least).alias("kept"))
+    return out.select(id_col, "n_shingles", "h1", "h2", least.alias("component_id"), F.col(id_col).eqNullSafe(least).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row; ids must be integers."""
+    return classified(docs, similarity, id_col, text_col).drop("h1", "h2")
+
+
+def _marked(ids: DataFrame, column: str):
+    """A condition on `column` that holds for all of ids and, by chance, for few others; its size is fixed."""
+    bits = node_filter(ids.toDF("node")).tobytes()
+    slot = f"pmod(xxhash64(cast(`{column}` as bigint)), {FILTER_BITS}L)"
+    byte = F.conv(F.hex(F.substr(F.lit(bytearray(bits)), F.expr(f"cast({slot} div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+    return F.col(column).isNotNull() & (F.call_function("shiftright", byte, F.expr(f"cast({slot} % 8 as int)")).bitwiseAND(F.lit(1)) == 1)
+
+
+def deduplicated(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, less all but one of each near-duplicate class.
+
+    Of repeated rows with one id one stays. Only rows whose id may be removed, or is not unique, are
+    shuffled with their text; a filter of fixed size lets the others pass.
+    """
+    told = stage(classified(docs, similarity, id_col, text_col), "classified")
+    some = told.where(F.col(id_col).isNotNull())
+    often = stage(some.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(F.col(id_col).cast("bigint").alias("_id")), "often")
+    gone = some.where("not kept").select(F.col(id_col).cast("bigint").alias("_id"))
+    asked = stage(gone.union(often).distinct(), "asked")
+    mark = _marked(asked, id_col)
+    maybe = docs.where(mark)
+    same = F.col(id_col).cast("bigint") == F.col("_id")
+    out = docs.where(~mark).union(maybe.join(asked, same, "left_anti"))
+    if often.isEmpty():
+        return out
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches):
+        for part in bounded(batches, 2000, 2_000_000, text_col):
+            sets = shingle_sets(part.column(text_col).to_pylist())
+            one, two = zip(*map(digests, sets))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], [*part.schema.names, "_n", "_h1", "_h2"])
+
+    again = maybe.join(often, same, "left_semi").mapInArrow(run, f"{kind}, _n bigint, _h1 bigint, _h2 bigint").dropDuplicates([id_col, "_n", "_h1", "_h2"])
+    stay = some.where("kept").select(F.col(id_col).cast("bigint").alias("_id"), F.col("n_shingles").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
+    both = again.alias("a").join(stay.alias("s"), same & (F.col("a._n") == F.col("s._n")) & (F.col("a._h1") == F.col("s._h1")) & (F.col("a._h2") == F.col("s._h2")), "left_semi")
+    return out.union(both.select(*(f"a.`{c}`" for c in docs.columns)))

@@ -136,10 +136,22 @@ def passed(measures: DataFrame, fences: DataFrame, lang: str, source: str) -> Da
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(doc_id, the counts, base_failed, kept) of every row."""
     measures = with_measures(stage(features(docs, [id_col, lang, source], text_col), "quality"))
-    out = passed(measures, thresholds(sketches(measures, lang, source)), lang, source)
+    fences = stage(thresholds(sketches(measures, lang, source)), "fences")
+    out = passed(measures, fences, lang, source)
     return out.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def filtered(docs: DataFrame, text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of docs that are kept, with all their columns, which must not have the names of the measures.
+
+    The measures are taken twice, once for the sketches and once beside the texts, so that no text is
+    shuffled or written; the fences are written first, so their size is known when they are joined.
+    """
+    fences = stage(thresholds(sketches(with_measures(features(docs, [lang, source], text_col)), lang, source)), "fences")
+    out = passed(with_measures(features(docs, docs.columns, text_col)), fences, lang, source)
+    return out.where("kept").select(*(f"`{c}`" for c in docs.columns))
+
+
 #: The same rows by DuckDB.
 ORACLE_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
