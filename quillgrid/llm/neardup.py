@@ -11,10 +11,11 @@ and pairs beyond it nearly always do: at J = 0.75 the chance that no key meets i
 are held against the signature distance (REACH) and then against the full sets, which decides.
 
 Work on groups. Equal sets meet in one class, so exact copies cost nothing further. Within the classes
-of a key, first only each one's pair with the key's least class is tried; components of the links
-found then leave as open only pairs of different components, which are all tried, in tiles of bounded
-size. A key may hold any number of classes; none is dropped. What is read twice is written to the
-shared folder first.
+of a key, first only each one's pair with the key's least class is tried. The components of the links
+found leave as open only pairs of different components. These are all tried, in tiles of bounded size:
+first by signature, each pair under the first key it shares, then by full sets, which only the classes
+that still have a candidate bring along. A tile gives back links, not pairs. A key may hold any number
+of classes; none is dropped. What is read twice is written to the shared folder first.
 
 Defined results: without words the set is empty and the row is linked with nothing (component_id is
 its doc_id); with fewer than five words the whole sequence is the set's one member. A row with a null
@@ -38,7 +39,7 @@ CHUNKS, CHUNK = 14, 6
 SLOTS = CHUNKS * CHUNK
 #: Slots in which signatures of two linked sets may differ: at J = 0.75 the mean is 21, the deviation 4.
 REACH = 39
-TILE = 2048
+TILE = 1024
 FILTER_BITS = 1 << 22
 
 _rng = np.random.default_rng(20_240)
@@ -193,62 +194,160 @@ def within_reach(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def open_pairs(met: DataFrame, of_component: DataFrame, reps: DataFrame) -> DataFrame:
-    """All pairs (a, b) that meet under a key, belong to different components and are within reach."""
+def open_rows(met: DataFrame, of_component: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, one, two, block, node, component, sig): nodes by tile, of the keys where components meet.
+
+    A key with many nodes is dealt into blocks of about TILE nodes; a tile is a pair of blocks.
+    """
     rows = met.select("key", "node").join(of_component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = stage(rows, "met")
     mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi")
     blocks = F.ceil(F.col("n") / TILE).cast("bigint")
     rows = rows.join(mixed.select("key", blocks.alias("blocks")), "key").join(reps.select("node", "sig"), "node")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "component", "sig")
+    return rows.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "component", "sig")
+
+
+_TILE = ("key", "one", "two")
+_ROW = "key bigint, one bigint, two bigint, block bigint, node bigint, component bigint"
+
+
+def _tiles(batches, binary: tuple[str, ...]):
+    """The rows of each tile, from batches sorted by tile: a dict of arrays, and of lists for binary columns."""
+    numbers = ("key", "one", "two", "block", "node", "component")
+    held = None
+    for part in batches:
+        cols = {c: part.column(c).to_numpy() for c in numbers} | {c: part.column(c).to_pylist() for c in binary}
+        if held is not None:
+            cols = {c: np.append(held[c], v) if c in numbers else held[c] + v for c, v in cols.items()}
+        n = len(cols["key"])
+        if not n:
+            continue
+        fresh = np.zeros(n, dtype=bool)
+        for c in _TILE:
+            fresh[1:] |= cols[c][1:] != cols[c][:-1]
+        edges = [0, *np.flatnonzero(fresh).tolist()]
+        for a, b in zip(edges, edges[1:]):
+            yield {c: v[a:b] for c, v in cols.items()}
+        held = {c: v[edges[-1] :] for c, v in cols.items()}
+    if held is not None:
+        yield held
+
+
+def candidates(tile: dict, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of a tile: of different components, within reach, and with this key as the first that they share."""
+    n, comp, node, block = len(sig), tile["component"], tile["node"], tile["block"]
+    within = tile["one"][0] == tile["two"][0]
+    own = int(tile["key"][0]) >> (8 * (CHUNK - 1))
+    left, right = [], []
+    for lo in range(0, n, 256):
+        rows = slice(lo, min(n, lo + 256))
+        ask = (comp[rows, None] != comp[None, :]) & (node[rows, None] != node[None, :]) & (np.arange(rows.start, rows.stop)[:, None] < np.arange(n)[None, :])
+        if not within:
+            ask &= block[rows, None] != block[None, :]
+        i, j = np.nonzero(ask)
+        for at in range(0, len(i), 200_000):
+            x, y = i[at : at + 200_000] + lo, j[at : at + 200_000]
+            off = (sig[x] != sig[y]).reshape(-1, CHUNKS, CHUNK)
+            count = off.sum(axis=2)
+            near = count <= 1
+            first = near.argmax(axis=1)
+            slot = off[np.arange(len(x)), first].argmax(axis=1)  # the one slot that differs, or 0
+            keep = near.any(axis=1) & (first * CHUNK + slot == own) & (count.sum(axis=1) <= REACH)
+            left.append(x[keep])
+            right.append(y[keep])
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _sigs(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, SLOTS)
+
+
+def asked_rows(rows: DataFrame) -> DataFrame:
+    """The rows of tiles whose node has a candidate there; a pair is a candidate in one tile only."""
+    names = [f.split()[0] for f in _ROW.split(", ")]
 
     def run(batches):
-        names = ["key", "one", "two", "block", "node", "component"]
-        rest = None
-        told: set = set()
-
-        def joined(cols, sig):
-            key, one, two, block, node, comp = cols
-            same = np.append((key[1:] == key[:-1]) & (one[1:] == one[:-1]) & (two[1:] == two[:-1]), False)
-            group = np.cumsum(np.append(0, ~same[:-1]))
-            d = 1
-            while d < len(key):
-                i = np.flatnonzero(group[d:] == group[:-d])
-                if not len(i):
-                    break
-                i = i[(comp[i] != comp[i + d]) & (node[i] != node[i + d]) & ((one[i] == two[i]) | (block[i] != block[i + d]))]
+        out, n = [], 0
+        for tile in _tiles(batches, ("sig",)):
+            if len(tile["node"]) > 1:
+                i, j = candidates(tile, _sigs(tile["sig"]))
                 if len(i):
-                    i = i[(sig[i] != sig[i + d]).sum(axis=1) <= REACH]
-                    for x, y in zip(node[i].tolist(), node[i + d].tolist()):
-                        told.add((x, y) if x < y else (y, x))
-                d += 1
+                    some = np.unique(np.append(i, j))
+                    out.append([tile[c][some] for c in names] + [[tile["sig"][k] for k in some]])
+                    n += len(some)
+            if n >= 5000:
+                yield told(out)
+                out, n = [], 0
+        if out:
+            yield told(out)
+
+    def told(out):
+        cols = [pa.array(np.concatenate([o[k] for o in out])) for k in range(len(names))]
+        return pa.RecordBatch.from_arrays([*cols, pa.array([s for o in out for s in o[-1]], pa.binary())], [*names, "sig"])
+
+    return rows.repartition(*_TILE).sortWithinPartitions(*_TILE).mapInArrow(run, f"{_ROW}, sig binary")
+
+
+def common_counts(members: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets i and j; in large groups by bit maps over the members that several sets have."""
+    if len(i) <= 16:
+        return np.array([len(np.intersect1d(members[a], members[b], assume_unique=True)) for a, b in zip(i, j)], dtype=np.int64)
+    values, df = np.unique(np.concatenate(members), return_counts=True)
+    shared = values[df > 1]
+    width = -(-len(shared) // 64) or 1
+    maps = np.zeros((len(members), width * 8), dtype=np.uint8)
+    for k, m in enumerate(members):
+        at = np.searchsorted(shared, m)
+        at = at[(at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == m)] if len(shared) else at[:0]
+        dense = np.zeros(width * 64, dtype=np.uint8)
+        dense[at] = 1
+        maps[k] = np.packbits(dense)
+    maps = maps.view(np.uint64)
+    out = np.zeros(len(i), dtype=np.int64)
+    step = max(1, 4_000_000 // width)
+    for lo in range(0, len(i), step):
+        out[lo : lo + step] = np.bitwise_count(maps[i[lo : lo + step]] & maps[j[lo : lo + step]]).sum(axis=1, dtype=np.int64)
+    return out
 
-        def out():
-            rows = sorted(told)
-            told.clear()
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], ["a", "b"])
 
-        for part in batches:
-            if not part.num_rows:
+def open_links(asked: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) between components, from the full sets of each tile's candidates: enough of them to join what is linked."""
+    rows = asked.join(full, "node").select(*(f.split()[0] for f in _ROW.split(", ")), "sig", "members")
+
+    def run(batches):
+        for tile in _tiles(batches, ("sig", "members")):
+            if len(tile["node"]) < 2:
+                continue
+            i, j = candidates(tile, _sigs(tile["sig"]))
+            members = [np.frombuffer(m, dtype=np.uint64) for m in tile["members"]]
+            size = np.array([len(m) for m in members])
+            fit = 100 * np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+            i, j = i[fit], j[fit]
+            if not len(i):
                 continue
-            cols = [part.column(c).to_numpy() for c in names]
-            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, SLOTS)
-            if rest is not None:
-                cols, sig = [np.append(a, b) for a, b in zip(rest[0], cols)], np.concatenate([rest[1], sig])
-            cut = len(cols[0])
-            while cut > 0 and all(c[cut - 1] == c[-1] for c in cols[:3]):
-                cut -= 1
-            joined([c[:cut] for c in cols], sig[:cut])
-            rest = ([c[cut:] for c in cols], sig[cut:])
-            if told:
-                yield out()
-        if rest is not None:
-            joined(*rest)
-            if told:
-                yield out()
-
-    return rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(run, "a bigint, b bigint").distinct()
+            common = common_counts(members, i, j)
+            linked = (common > 0) & (100 * common >= similarity * (size[i] + size[j] - common))
+            parent: dict[int, int] = {}
+
+            def root(c):
+                while parent.setdefault(c, c) != c:  # noqa: B023
+                    parent[c] = parent[parent[c]]  # noqa: B023
+                    c = parent[c]  # noqa: B023
+                return c
+
+            a, b = [], []
+            for x, y in zip(i[linked].tolist(), j[linked].tolist()):
+                p, q = root(int(tile["component"][x])), root(int(tile["component"][y]))
+                if p != q:
+                    parent[p] = q
+                    a.append(int(tile["node"][x]))
+                    b.append(int(tile["node"][y]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.repartition(*_TILE).sortWithinPartitions(*_TILE).mapInArrow(run, "a bigint, b bigint")
 
 
 def node_filter(nodes: DataFrame) -> np.ndarray:
@@ -261,9 +360,8 @@ def node_filter(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= similarity * union."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+def full_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, members) of the rows of docs whose id is among nodes (and, by chance, of few others)."""
     bits = docs.sparkSession.sparkContext.broadcast(node_filter(nodes))
 
     def sets(batches):
@@ -275,7 +373,11 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, simi
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(own, pa.binary())], ["node", "members"])
 
     some = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("node"), text_col)
-    full = stage(some.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))).mapInArrow(sets, "node bigint, members binary"), "sets")
+    return stage(some.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))).mapInArrow(sets, "node bigint, members binary"), "sets")
+
+
+def verified(pairs: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= similarity * union."""
     both = pairs.join(full.select(F.col("node").alias("b"), F.col("members").alias("y")), "b").join(full.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
 
     def run(batches):
@@ -304,10 +406,12 @@ def classified(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc
     met = stage(meetings(index_keys(reps)), "meetings")
     stars = met.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     first = within_reach(stars, reps).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stage(verified(stage(first, "pairs"), docs, id_col, text_col, similarity), "links")
+    first = stage(first, "pairs")
+    full = full_sets(first.select(F.col("a").alias("node")).union(first.select("b")), docs, id_col, text_col)
+    links = stage(verified(first, full, similarity), "links")
     of_component = stage(components(links.toDF("u", "v")), "components")
-    rest = stage(open_pairs(met, of_component, reps), "pairs")
-    more = verified(rest, docs, id_col, text_col, similarity)
+    asked = stage(asked_rows(open_rows(met, of_component, reps)), "asked")
+    more = open_links(asked, full_sets(asked.select("node"), docs, id_col, text_col), similarity)
     links = stage(links.union(more), "links")
     of_component = components(links.toDF("u", "v"))
     of_class = classes.join(of_component, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
