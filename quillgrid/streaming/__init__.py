@@ -1,0 +1 @@
+"""Streams: the engine answers over files at rest and has no operator on unbounded input."""
