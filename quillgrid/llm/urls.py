@@ -10,7 +10,7 @@ the models have not seen: the point where the normal curves of both classes lie
 
 Counts are kept in SLOTS hashed slots for each length of n-gram, so the models have a fixed size
 (2 * (ORDER + 1) * SLOTS counts), whatever the number of URLs; they are summed per task before the
-shuffle and travel as a literal. Scoring a URL is one expression over its own characters: no join, no
+shuffle and travel as the value of a scalar subquery. Scoring a URL is one expression over its own characters: no join, no
 shuffle, no key to be hot.
 
 Defined results: a null url or one without `://` has an empty host and path, fits no rule and is judged
@@ -20,11 +20,11 @@ allow; repeated rows count each; an empty table gives no rows; extra columns are
 
 from __future__ import annotations
 
-import struct
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 ALLOW, BLOCK = "allow", "block"
 #: Host, path prefix, verdict.
 RULES = (("org", "/", ALLOW), ("example.org", "/es/", BLOCK), ("example.org", "/en/1", BLOCK), ("com", "/fr/", ALLOW), ("com", "/de/", BLOCK))
@@ -67,8 +67,8 @@ def _slot(piece: Column) -> Column:
     return F.pmod(F.xxhash64(piece), F.lit(SLOTS))
 
 
-def counted(labelled: DataFrame) -> list:
-    """(length, slot, allowed, blocked) of all n-grams of 1 to ORDER + 1 characters; at most (ORDER + 1) * SLOTS rows."""
+def counted(labelled: DataFrame) -> DataFrame:
+    """(n, slot, allow, block): counts of all n-grams of 1 to ORDER + 1 characters; at most (ORDER + 1) * SLOTS rows."""
     ends = F.sequence(F.lit(1), F.length("marked"))
 
     def of_length(n: int) -> Column:
@@ -76,65 +76,70 @@ def counted(labelled: DataFrame) -> list:
 
     pieces = [of_length(n) for n in range(1, ORDER + 2)]
     rows = labelled.select("ruling", F.explode(F.concat(*pieces)).alias("x")).where("x is not null")
-    sums = [F.sum((F.col("ruling") == v).cast("bigint")).alias(v) for v in (ALLOW, BLOCK)]
-    return rows.groupBy("x.n", _slot(F.col("x.piece")).alias("slot")).agg(*sums).collect()
-
-
-class Models:
-    """Both models as byte strings of eight-byte counts, with a count of 0 behind the last slot."""
-
-    def __init__(self, rows):
-        self.tables, self.totals = [], []
-        for verdict in (ALLOW, BLOCK):
-            table = bytearray(8 * ((ORDER + 1) * SLOTS + 1))
-            total = 0
-            for r in rows:
-                struct.pack_into(">Q", table, 8 * ((r["n"] - 1) * SLOTS + r["slot"]), r[verdict])
-                total += r[verdict] * (r["n"] == 1)
-            self.tables.append(table)
-            self.totals.append(total)
-
-    def log_ratio(self) -> Column:
-        """log p(allowed) - log p(blocked) a character, of the column `marked`."""
-        none = (ORDER + 1) * SLOTS
-        if not all(self.totals):
-            return F.lit(0.0)
-
-        def places(i: Column) -> Column:
-            gram = [F.when(i >= n, (n - 1) * SLOTS + _slot(F.substr("marked", i - n + 1, F.lit(n)))).otherwise(none) for n in range(1, ORDER + 2)]
-            context = [F.when(i > n, (n - 1) * SLOTS + _slot(F.substr("marked", i - n, F.lit(n)))).otherwise(none) for n in range(1, ORDER + 1)]
-            return F.array(*gram, *context)
-
-        def probability(at: Column, which: int) -> Column:
-            count = lambda k: F.conv(F.hex(F.substr(F.lit(self.tables[which]), (at[k] * 8 + 1).cast("int"), F.lit(8))), 16, 10).cast("double")
-            p = (count(0) + 0.5) / (self.totals[which] + 0.5 * ALPHABET)
-            for n in range(1, ORDER + 1):
-                p = (count(n) + PULL * p) / (count(ORDER + n) + PULL)
-            return p
+    sums = [F.count_if(F.col("ruling") == v).alias(v) for v in (ALLOW, BLOCK)]
+    return rows.groupBy("x.n", _slot(F.col("x.piece")).alias("slot")).agg(*sums)
+
+
+#: Places in a model behind the last slot: a count of 0, and the number of characters.
+NONE, TOTAL = (ORDER + 1) * SLOTS + 1, (ORDER + 1) * SLOTS + 2
+
+
+def models(labelled: DataFrame) -> DataFrame:
+    """One row: both models as arrays of counts by place (from 1); the size is fixed."""
+    counts = counted(labelled).select(((F.col("n") - 1) * SLOTS + F.col("slot") + 1).alias("place"), ALLOW, BLOCK, (F.col("n") == 1).alias("single"))
+    totals = counts.where("single").agg(F.sum(ALLOW).alias(ALLOW), F.sum(BLOCK).alias(BLOCK)).select(F.lit(TOTAL).cast("bigint").alias("place"), ALLOW, BLOCK)
+    every = labelled.sparkSession.range(1, TOTAL + 1).withColumnRenamed("id", "place")
+    dense = every.join(counts.drop("single").union(totals), "place", "left").fillna(0)
+    whole = dense.agg(F.sort_array(F.collect_list(F.struct("place", *(F.col(v).cast("double").alias(v) for v in (ALLOW, BLOCK))))).alias("x"))
+    return whole.select(F.struct(F.col(f"x.{ALLOW}").alias(ALLOW), F.col(f"x.{BLOCK}").alias(BLOCK)).alias("models"))
 
+
+def with_log_ratio(rows: DataFrame, fitted_models: DataFrame) -> DataFrame:
+    """rows with log_ratio: log p(allowed) - log p(blocked) a character of `marked`; 0 if a model is empty.
+
+    The models come as the value of a scalar subquery, which every row refers to without a copy.
+    """
+
+    def places(i: Column) -> Column:
+        gram = [F.when(i >= n, (n - 1) * SLOTS + 1 + _slot(F.substr("marked", i - n + 1, F.lit(n)))).otherwise(NONE) for n in range(1, ORDER + 2)]
+        context = [F.when(i > n, (n - 1) * SLOTS + 1 + _slot(F.substr("marked", i - n, F.lit(n)))).otherwise(NONE) for n in range(1, ORDER + 1)]
+        return F.transform(F.array(*gram, *context), lambda p: p.cast("int"))
+
+    def probability(model: Column, at: Column) -> Column:
+        count = lambda k: F.get(model, at[k] - 1)
+        p = (count(0) + 0.5) / (F.get(model, F.lit(TOTAL - 1)) + 0.5 * ALPHABET)
+        for n in range(1, ORDER + 1):
+            p = (count(n) + PULL * p) / (count(ORDER + n) + PULL)
+        return p
+
+    def total(m: Column) -> Column:
         each = F.transform(F.sequence(F.lit(2), F.length("marked")), places)
-        total = F.aggregate(each, F.lit(0.0), lambda acc, at: acc + F.ln(probability(at, 0)) - F.ln(probability(at, 1)))
-        return total / (F.length("marked") - 1)
+        told = F.aggregate(each, F.lit(0.0), lambda acc, at: acc + F.ln(probability(m[ALLOW], at)) - F.ln(probability(m[BLOCK], at)))
+        some = (F.get(m[ALLOW], F.lit(TOTAL - 1)) > 0) & (F.get(m[BLOCK], F.lit(TOTAL - 1)) > 0)
+        return F.when(some, told / (F.length("marked") - 1)).otherwise(0.0)
+
+    with_models = rows.withColumn("models", fitted_models.scalar())
+    return with_models.withColumn("log_ratio", F.transform(F.array("models"), total)[0]).drop("models")
 
 
-def fitted(rows: DataFrame) -> tuple[Column, float]:
-    """The log ratio a character, and the threshold for it, learned from the rows that have a ruling."""
+def fitted(rows: DataFrame) -> tuple[DataFrame, float]:
+    """The models, learned from the rows that have a ruling, and the threshold for the log ratio."""
     labelled = rows.where("ruling is not null")
     fold = F.pmod(F.xxhash64("marked", F.lit(1)), F.lit(CALIBRATION))
-    ratio = Models(counted(labelled.where(fold != 0))).log_ratio()
-    told = {r[0]: r[1:] for r in labelled.where(fold == 0).select("ruling", ratio.alias("d")).groupBy("ruling").agg(F.avg("d"), F.coalesce(F.stddev_pop("d"), F.lit(0.0))).collect()}
+    told_models = stage(models(labelled.where(fold != 0)), "url-models")
+    told = {r[0]: r[1:] for r in with_log_ratio(labelled.where(fold == 0), told_models).groupBy("ruling").agg(F.avg("log_ratio"), F.coalesce(F.stddev_pop("log_ratio"), F.lit(0.0))).collect()}
     if len(told) < 2:
-        return ratio, 0.0
+        return told_models, 0.0
     (good, good_dev), (bad, bad_dev) = told[ALLOW], told[BLOCK]
     spread = good_dev + bad_dev
-    return ratio, (good * bad_dev + bad * good_dev) / spread if spread > 0 else (good + bad) / 2
+    return told_models, (good * bad_dev + bad * good_dev) / spread if spread > 0 else (good + bad) / 2
 
 
 def judged(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, log_ratio) of every row."""
     host, path = host_and_path(F.coalesce(F.col(url_col), F.lit("")))
     rows = marked(ruled(pages.select(F.col(id_col), host.alias("host"), path.alias("path")), rules))
-    ratio, threshold = fitted(rows)
-    out = rows.withColumn("log_ratio", ratio)
+    told_models, threshold = fitted(rows)
+    out = with_log_ratio(rows, told_models)
     verdict = F.coalesce("ruling", F.when(F.col("log_ratio") >= threshold, ALLOW).otherwise(BLOCK))
     return out.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "log_ratio")
