@@ -14,6 +14,7 @@ import base64
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -89,11 +90,10 @@ class ByteBpe:
             self.bytes_of = {r: t for t, r in ranks.items()}
         whole.encode_special_tokens = True
         self.whole = whole
-        #: encodes a text that is one pre-token already
-        self.single = Tokenizer(whole.model)
-        self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.single.encode_special_tokens = True
-        self.width = np.dtype("<u2" if max(self.bytes_of) < 1 << 16 else "<u4")
+        self.model = whole.model
+        #: from the character of each byte's number to that of the byte-level alphabet
+        self.spell = dict(enumerate(table))
+        self.width = np.dtype("u2" if max(self.bytes_of) < 1 << 16 else "u4")
         self.fast = pattern == public_tokenizers.PATTERN
         self.cache: dict[str, bytes] = {}
         self.cache_entries = cache_entries
@@ -116,10 +116,9 @@ class ByteBpe:
         unseen.difference_update(self.cache)
         parts = list(unseen)
         room = self.cache_entries - len(self.cache)
-        for lo in range(0, len(parts), 20_000):
-            chunk = parts[lo : lo + 20_000]
-            for part, got in zip(chunk, self.single.encode_batch_fast(chunk, add_special_tokens=False)):
-                self.cache[part] = np.array(got.ids, dtype=self.width).tobytes()
+        tokenize, spell, width = self.model.tokenize, self.spell, self.width.char
+        for part in parts:  # merges of one pre-token; whole texts would be split again
+            self.cache[part] = array(width, [t.id for t in tokenize(part.encode().decode("latin-1").translate(spell))]).tobytes()
         find = self.cache.__getitem__
         for k, own in split.items():
             out[k] = np.frombuffer(b"".join(map(find, own)), dtype=self.width)
