@@ -6,12 +6,19 @@ Ordering is explicit about nulls, sums of money are decimals, and every computed
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import refs
 from ..operators import discovery, profiling, reconcile, relations, search
+from ..session import shared_dir
+from ..sources import projections, xlsx
+from ..sources.export import write_workbook
+from ..sources.package import Package
 
 MONEY = "decimal(18,2)"
 
@@ -536,3 +543,31 @@ def expected_value_check(spark, d):
     wanted = spark.createDataFrame([(1, "O"), (2, "F"), (3, "X"), (888888888, "O")], "cell bigint, expected string")
     actual = table(spark, d, "orders").select(F.col("o_orderkey").alias("cell"), F.col("o_orderstatus").alias("actual"))
     return discovery.mismatches(actual, wanted, "cell")
+
+
+# --- workbooks ---------------------------------------------------------------------------------
+
+
+def _workbook(spark, d):
+    """Customers of two nations and the nations as a workbook in the shared folder: (path, ranges)."""
+    folder = tempfile.mkdtemp(prefix="book-", dir=shared_dir(spark))
+    path = os.path.join(folder, "book.xlsx")
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("ID"), F.col("c_acctbal").cast(MONEY).alias("Balance"), F.col("c_mktsegment").alias("Segment"), "c_nationkey")
+    sheets = {f"Nation{k}": rows.where(F.col("c_nationkey") == k).select(*(["ID", "Balance", "Segment"] if k % 2 else ["Segment", "ID", "Balance"])).orderBy("ID") for k in (3, 4)}
+    return path, write_workbook(path, sheets)
+
+
+@query("""SELECT c_custkey AS "ID", c_acctbal::DECIMAL(18,2) AS "Balance", c_mktsegment AS "Segment", 'Nation' || c_nationkey::VARCHAR AS _sheet FROM customer WHERE c_nationkey IN (3, 4)""")
+def workbook_union(spark, d):
+    path, ranges = _workbook(spark, d)
+    with Package(path) as package:
+        strings = projections.Strings(package)
+        schema = {"ID": "BIGINT", "Balance": "DECIMAL(18,2)", "Segment": "VARCHAR"}
+        plans = {s: projections.plan(package, strings, s, refs.area(r), schema, list(schema), False) for s, r in ranges.items()}
+        return relations.union_sheets({s: projections.frame(spark, package, p) for s, p in plans.items()}, list(schema))
+
+
+@query("""SELECT 'Nation3' AS sheet, 3 * count(*) + 3 AS nonempty, 1 AS first_row, count(*)::INTEGER + 1 AS last_row FROM customer WHERE c_nationkey = 3""")
+def workbook_cells(spark, d):
+    path, _ = _workbook(spark, d)
+    return discovery.bounds(xlsx.cells(spark, path, [("Nation3", None)])).select("sheet", "nonempty", "first_row", "last_row")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,3 +24,14 @@ def session(master: str | None = None, **settings) -> SparkSession:
         return active
     builder = SparkSession.builder.config(map=SETTINGS | settings)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A local path of the folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = tempfile.mkdtemp(prefix="quillgrid-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    path = path.removeprefix("file://")
+    os.makedirs(path, exist_ok=True)
+    return path

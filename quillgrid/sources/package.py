@@ -111,6 +111,12 @@ class Package:
     def close(self) -> None:
         self.archive.close()
 
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.close()
+
     def open_part(self, part: str):
         if part not in self.parts:
             raise EngineError(f"the package has no part {part!r}")
