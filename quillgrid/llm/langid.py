@@ -17,8 +17,9 @@ a null doc_id is no training row; repeated rows count each; an empty table gives
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -50,65 +51,104 @@ def grams(word: str, longest: int = LONGEST) -> list[str]:
 
 @dataclass
 class LanguageModel:
+    """Log frequencies of known words and n-grams by language, as rows of two tables."""
+
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    unseen: np.ndarray
+    words: dict[str, int]
+    word_logs: np.ndarray
+    grams: dict[str, int]
+    gram_logs: np.ndarray
     longest: int = LONGEST
-    cache: dict = field(default_factory=dict)
+    cache: dict[str, int] = field(default_factory=dict)
+    cached: np.ndarray | None = None
 
     @staticmethod
     def of(languages: list[str], words: dict[str, list[float]], grams: dict[str, list[float]]) -> LanguageModel:
-        """From counts by language; add-half smoothing over the known entries."""
-
-        def logs(table):
-            if not table:
-                return {}
-            counts = np.array(list(table.values()), dtype=float)
-            totals = counts.sum(axis=0) + 0.5 * (len(table) + 1)
-            return dict(zip(table, np.log((counts + 0.5) / totals)))
-
-        by_length: dict[int, dict] = {}
-        for g, c in grams.items():
-            by_length.setdefault(len(g), {})[g] = c
-        all_grams: dict[str, np.ndarray] = {}
-        for own in by_length.values():
-            all_grams |= logs(own)
-        return LanguageModel(languages, logs(words), all_grams, np.zeros(len(languages)))
-
-    def back_off(self, word: str) -> np.ndarray:
-        """The score of an unseen word from the longest known n-gram at each position, as a mean for its length."""
-        w = f" {word} "
-        total, n = self.unseen.copy(), 0
-        for i in range(len(w) - 1):
-            for size in range(min(self.longest, len(w) - i), 0, -1):
-                got = self.grams.get(w[i : i + size])
-                if got is not None:
-                    total += got
-                    n += 1
-                    break
-        # the n-grams overlap: their mean, doubled, counts them as about two independent ones
-        return 2 * total / n if n else total
-
-    def of_word(self, word: str) -> np.ndarray:
-        got = self.words.get(word)
-        if got is None:
-            got = self.cache.get(word)
-            if got is None:
-                got = self.back_off(word)
-                if len(self.cache) < CACHE_WORDS:
-                    self.cache[word] = got
-        return got
+        """From counts by language; add-half smoothing over the known entries, of n-grams for each length."""
+
+        def logs(counts):
+            totals = counts.sum(axis=0) + 0.5 * (len(counts) + 1)
+            return np.log((counts + 0.5) / totals)
+
+        table = lambda x: np.array(list(x.values()), dtype=float).reshape(len(x), len(languages))
+        gram_logs, lengths = table(grams), np.array([len(g) for g in grams], dtype=int)
+        for n in set(lengths.tolist()):
+            gram_logs[lengths == n] = logs(gram_logs[lengths == n])
+        number = lambda x: {k: i for i, k in enumerate(x)}
+        return LanguageModel(languages, number(words), logs(table(words)), number(grams), gram_logs)
+
+    def back_off(self, words: list[str]) -> np.ndarray:
+        """Scores of unseen words: at each position the longest known n-gram that starts there."""
+        rows, sizes = [], []
+        get = self.grams.get
+        for word in words:
+            w = f" {word} "
+            end, n = len(w), len(rows)
+            for i in range(end - 1):
+                for size in range(min(self.longest, end - i), 0, -1):
+                    row = get(w[i : i + size])
+                    if row is not None:
+                        rows.append(row)
+                        break
+            sizes.append(len(rows) - n)
+        out = np.zeros((len(words), len(self.languages)))
+        sizes = np.array(sizes)
+        some = sizes > 0
+        if some.any():
+            starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+            # the n-grams of a word overlap: their mean, doubled, counts them as about two independent ones
+            out[some] = 2 * np.add.reduceat(self.gram_logs[rows], starts, axis=0) / sizes[some, None]
+        return out
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        at = np.fromiter((self.words.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        out = np.zeros((len(words), len(self.languages)))
+        out[at >= 0] = self.word_logs[at[at >= 0]]
+        unseen = np.flatnonzero(at < 0)
+        if len(unseen):
+            out[unseen] = self.back_off([words[i] for i in unseen])
+        return out
+
+    def of_tokens(self, tokens: list[str]) -> np.ndarray:
+        """Of each token (text without white space): the scores of its words, and whether it has a letter."""
+        out = np.zeros((len(tokens), len(self.languages) + 1))
+        if self.cached is None:
+            self.cached = np.zeros((CACHE_WORDS, len(self.languages) + 1))
+        at = np.fromiter((self.cache.get(t, -1) for t in tokens), dtype=np.int64, count=len(tokens))
+        out[at >= 0] = self.cached[at[at >= 0]]
+        new = np.flatnonzero(at < 0)
+        words, owner = [], []
+        for i in new.tolist():
+            for w in _LETTERS.findall(tokens[i]):
+                words.append(w)
+                owner.append(i)
+        if words:
+            np.add.at(out[:, :-1], np.array(owner), self.of_words(words))
+            out[[i for i, w in zip(owner, words) if any(map(str.isalpha, w))], -1] = 1
+        for i in new[: CACHE_WORDS - len(self.cache)].tolist():
+            self.cached[len(self.cache)] = out[i]
+            self.cache[tokens[i]] = len(self.cache)
+        return out
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        number: defaultdict = defaultdict(count().__next__)
+        find = number.__getitem__
+        own = [np.fromiter(map(find, t.lower().split()), dtype=np.int64) if t and self.languages else np.zeros(0, np.int64) for t in texts]
+        table = self.of_tokens(list(number))
+        out = []
+        for rows in own:
+            total = table[rows].sum(axis=0)
+            if not len(rows) or not total[-1]:
+                out.append((UNKNOWN, 0.0))
+                continue
+            total = total[:-1]
+            best = int(np.argmax(total))
+            out.append((self.languages[best], float(1 / np.exp(total - total[best]).sum())))
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        own = letter_words(text)
-        if not own or not self.languages:
-            return UNKNOWN, 0.0
-        counts = Counter(own)
-        table = np.array([self.of_word(w) for w in counts])
-        total = np.array(list(counts.values()), dtype=float) @ table
-        best = int(np.argmax(total))
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
+        return self.predict_all([text])[0]
 
 
 def fit(docs: DataFrame, modulus: int = 4, held: int = 2, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
@@ -155,7 +195,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     def run(batches):
         for part in bounded(batches, 2000, 4_000_000, text_col):
-            got = [sent.value.predict(t) for t in part.column(text_col).to_pylist()]
+            got = sent.value.predict_all(part.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in back)

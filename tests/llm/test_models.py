@@ -84,7 +84,8 @@ def test_language_backs_off(spark):
     m = langid.LanguageModel.of(["a", "b"], {"xx": [9, 0], "yy": [0, 9]}, {"z": [50, 1], "q": [40, 41], "zq": [1, 30]})
     assert m.predict("xx")[0] == "a" and m.predict("yy yy xx")[0] == "b"
     assert m.predict("z")[0] == "a" and m.predict("zq")[0] == "b"  # an unseen word, by its longest known n-gram
-    assert m.predict(None) == m.predict("") == m.predict("12 !") == ("und", 0.0)
+    assert m.predict(None) == m.predict("") == m.predict("12 ! ² _") == ("und", 0.0)
+    assert m.predict_all(["xx-yy yy", "xx"]) == [m.predict("xx yy\tyy"), m.predict("xx")]
     docs = spark.createDataFrame([(1, "aa bb", "x"), (None, "aa", None), (3, None, "y"), (3, None, "y")], "doc_id long, text string, lang string")
     assert langid.predicted(docs).count() == 4 and langid.predicted(docs.where("false")).collect() == []
     assert {r.lang_pred for r in langid.predicted(docs.withColumn("lang", docs.lang.substr(9, 1)).where("false")).collect()} == set()
