@@ -28,7 +28,7 @@ from .common import bounded
 PRINTABLE = (range(0x21, 0x7F), range(0xA1, 0xAD), range(0xAE, 0x100))
 
 #: Pre-tokens kept per Python worker; beyond the bound they are kept for a batch only (ids never depend on it).
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 450_000
 
 #: In texts of these characters alone, Python's `re` classes agree with the Unicode classes of the pattern.
 _UNUSUAL = re.compile("[^\t\n\x0b\x0c\r -~¡-©«-±´¶-¸»¿-ɏ‐-‧‰-⁞]")

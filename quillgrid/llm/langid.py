@@ -30,8 +30,8 @@ from .common import bounded
 
 TRAIN_ROWS = 20_000
 #: Known words and n-grams; words seen once only are left to the n-grams.
-WORDS = 60_000
-GRAMS = 40_000
+WORDS = 50_000
+GRAMS = 30_000
 LONGEST = 4
 CACHE_WORDS = 300_000
 UNKNOWN = "und"
@@ -176,10 +176,16 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, rows: int = TRAIN_ROWS
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1]), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], ["language", "whole", "piece", "n"])
 
+    if not languages:
+        return LanguageModel.of([], {}, {})
     counts = some.select(F.col(text_col), F.col(lang_col)).mapInArrow(run, "language string, whole boolean, piece string, n bigint")
     sums = [F.sum(F.when(F.col("language") == lang, F.col("n")).otherwise(0)).cast("double").alias(f"l{k}") for k, lang in enumerate(languages)]
     table = counts.groupBy("whole", "piece").agg(F.sum("n").alias("n"), *sums).where("n > 1 and length(piece) <= 64")
-    take = lambda whole, most: {r.piece: list(r[3:]) for r in table.where(F.col("whole") == whole).orderBy(F.desc("n"), "piece").limit(most).collect()}
+
+    def take(whole: bool, most: int) -> dict[str, list[float]]:
+        got = table.where(F.col("whole") == whole).orderBy(F.desc("n"), "piece").limit(most).select("piece", F.array(*(f"l{k}" for k in range(len(languages)))).alias("counts")).toArrow()
+        return dict(zip(got.column("piece").to_pylist(), got.column("counts").to_pylist()))
+
     return LanguageModel.of(languages, take(True, WORDS), take(False, GRAMS))
 
 

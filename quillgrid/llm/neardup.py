@@ -350,13 +350,17 @@ def open_links(asked: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
     return rows.repartition(*_TILE).sortWithinPartitions(*_TILE).mapInArrow(run, "a bigint, b bigint")
 
 
-def node_filter(nodes: DataFrame) -> np.ndarray:
-    """A bit map of fixed size over hashes of the nodes; it may hold others, so a join must follow."""
+def _filter_words(nodes: DataFrame) -> DataFrame:
+    """(word, bits): a bit map of FILTER_BITS over hashes of the nodes, less words without a bit."""
     slots = nodes.select(F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).alias("slot"))
-    rows = slots.selectExpr("slot div 32 as word", "shiftleft(1L, cast(slot % 32 as int)) as bit").groupBy("word").agg(F.bit_or("bit")).collect()
-    out = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
-    for word, bits in rows:
-        out[word] = bits
+    return slots.selectExpr("slot div 64 as word", "shiftleft(1L, cast(slot % 64 as int)) as bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def node_filter(nodes: DataFrame) -> np.ndarray:
+    """The bit map of the nodes, of fixed size; it may hold others, so a join must follow."""
+    rows = _filter_words(nodes).toArrow()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out
 
 
@@ -367,7 +371,7 @@ def full_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     def sets(batches):
         for batch in batches:
             slot = batch.column("slot").to_numpy()
-            asked = batch.filter(pa.array((bits.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1))
+            asked = batch.filter(pa.array((bits.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1))
             for part in bounded([asked], 2000, 2_000_000, text_col) if asked.num_rows else ():
                 own = [s.tobytes() for s in shingle_sets(part.column(text_col).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(own, pa.binary())], ["node", "members"])
@@ -426,11 +430,16 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, id_col: str =
 
 
 def _marked(ids: DataFrame, column: str):
-    """A condition on `column` that holds for all of ids and, by chance, for few others; its size is fixed."""
-    bits = node_filter(ids.toDF("node")).tobytes()
+    """A condition on `column` that holds for all of ids and, by chance, for few others; its size is fixed.
+
+    The bit map is the value of a scalar subquery, so it is no part of the plan's text.
+    """
+    some = _filter_words(ids.toDF("node"))
+    every = ids.sparkSession.range(FILTER_BITS // 64).withColumnRenamed("id", "word").join(some, "word", "left")
+    whole = stage(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))), lambda x: x.bits).alias("map")), "filter")
     slot = f"pmod(xxhash64(cast(`{column}` as bigint)), {FILTER_BITS}L)"
-    byte = F.conv(F.hex(F.substr(F.lit(bytearray(bits)), F.expr(f"cast({slot} div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
-    return F.col(column).isNotNull() & (F.call_function("shiftright", byte, F.expr(f"cast({slot} % 8 as int)")).bitwiseAND(F.lit(1)) == 1)
+    word = F.get(whole.scalar(), F.expr(f"cast({slot} div 64 as int)"))
+    return F.col(column).isNotNull() & (F.call_function("shiftright", word, F.expr(f"cast({slot} % 64 as int)")).bitwiseAND(F.lit(1).cast("bigint")) == 1)
 
 
 def deduplicated(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
