@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..budget import Budget, Metrics, plain
-from ..errors import EngineError
+from ..errors import EngineError, told
 from ..plans import sqlguard
 from .profiling import profile
 from .reconcile import quoted
@@ -115,7 +115,8 @@ class Relations:
             return {"table": self._names[key], "materialized": True, "cached": True}
         kept = rows.persist()
         try:
-            kept.count()
+            with told():
+                kept.count()
         except Exception:
             kept.unpersist()
             raise
@@ -124,7 +125,7 @@ class Relations:
 
     def frame(self, sql: str, parameters: list | tuple | dict | None = None) -> DataFrame:
         """The rows of one SELECT over the registered relations, lazily."""
-        with sqlguard.dialect(self.spark):
+        with told(), sqlguard.dialect(self.spark):
             text = sqlguard.named_parameters(sql).strip().rstrip(";")
             sqlguard.admit(self.spark, text, set(self._views))
             named = ", ".join(f'"{self._names[k]}" AS (SELECT * FROM {v})' for k, v in self._views.items())
@@ -138,7 +139,8 @@ class Relations:
             return self.answer(self.frame(sql, parameters))
 
     def answer(self, rows: DataFrame) -> dict:
-        got = bounded(rows, self.budget.max_rows).collect()
+        with told():
+            got = bounded(rows, self.budget.max_rows).collect()
         self.budget.check(len(got), len(got) * len(rows.columns))
         return {"columns": rows.columns, "rows": [[plain(v) for v in r] for r in got]}
 

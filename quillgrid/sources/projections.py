@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import EngineError
+from ..errors import EngineError, told
 from ..functions import casts, refs
 from . import xlsx
 from .cells import lookup, scan, value_of
@@ -154,6 +154,27 @@ def load(spark: SparkSession, package: Package, wanted: list[Projection], store:
     if missing:
         with ThreadPoolExecutor(min(PARALLEL, len(missing))) as pool:
             made = pool.map(lambda i: store.write(keys[i], frame(spark, package, wanted[i])), missing)
-            for i, rows in zip(missing, made):
-                kept[i] = rows
+            with told():
+                for i, rows in zip(missing, made):
+                    kept[i] = rows
     return kept, len(wanted) - len(missing)
+
+
+def stamps(store: Store, package: Package, wanted: list[Projection]) -> dict[str, tuple]:
+    """Names, sizes and times of the files that hold the projections."""
+    out = {}
+    for p in wanted:
+        path = store.path(signature(package, p))
+        out[path] = tuple(sorted((f.name, f.stat().st_size, f.stat().st_mtime_ns) for f in os.scandir(path) if f.name.startswith("part-")))
+    return out
+
+
+def check_stamps(known: dict[str, tuple]) -> None:
+    """Raise if a file that holds a projection has changed or gone."""
+    for path, files in known.items():
+        try:
+            now = tuple(sorted((f.name, f.stat().st_size, f.stat().st_mtime_ns) for f in os.scandir(path) if f.name.startswith("part-")))
+        except OSError:
+            now = ()
+        if now != files:
+            raise EngineError(f"the kept table {path} has changed since it was loaded")

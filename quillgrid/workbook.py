@@ -40,6 +40,7 @@ class Workbook:
         self._relations: Relations | None = None
         self._index: Index | None = None
         self._loaded: dict[str, tuple] = {}
+        self._stamps: dict[str, dict[str, tuple]] = {}
         self._ranges: OrderedDict = OrderedDict()
 
     def __enter__(self):
@@ -289,6 +290,7 @@ class Workbook:
         n = rows.count()
         self.relations.register(name, rows)
         self._loaded[name.casefold()] = (p,)
+        self._stamps[name.casefold()] = projections.stamps(store, self.package, [p])
         self.metrics.counts["persistent_table_hits"] += hits
         return {"table": name, "rows": n, "columns": list(p.columns), "cached_formulas": allow_cached_formulas, "persistent_cache": "hit" if hits else "miss" if persistent_cache and self._cache else "off"}
 
@@ -306,9 +308,16 @@ class Workbook:
         self.package.check_unchanged()
         self.relations.register(name, union_sheets(dict(zip(ranges, frames)), list(schema), source_column))
         self._loaded[name.casefold()] = tuple(wanted)
+        self._stamps[name.casefold()] = projections.stamps(store, self.package, wanted)
         self.metrics.counts["persistent_table_hits"] += hits
         return {"table": name, "sheets": list(ranges), "columns": [*schema, source_column]}
 
+    def _check_sources(self) -> None:
+        """The workbook and the files of all loaded relations are as they were."""
+        self.package.check_unchanged()
+        for known in self._stamps.values():
+            projections.check_stamps(known)
+
     def relation(self, name: str) -> DataFrame:
         return self.relations.relation(name)
 
@@ -319,8 +328,11 @@ class Workbook:
         return self.relations.materialize(name)
 
     def query(self, sql: str, parameters=None) -> dict:
-        self.package.check_unchanged()
-        return self._told(self.relations.query(sql, parameters))
+        """The rows of one SELECT over the loaded relations, within the budget."""
+        self._check_sources()
+        got = self.relations.query(sql, parameters)
+        self._check_sources()
+        return self._told(got)
 
     def read_table(self, name: str, columns: list[str] | None = None, filters: dict | None = None, limit: int = 20, schema: dict[str, str] | None = None, allow_cached_formulas: bool = False) -> dict:
         if not 1 <= limit <= self.budget.max_rows:
