@@ -7,11 +7,6 @@ from collections.abc import Sequence
 import numpy as np
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    most = x.max(axis=axis, keepdims=True)
-    return np.squeeze(most, axis) + np.log(np.exp(x - most).sum(axis=axis))
-
-
 class ChainCRF:
     """Labels 0..labels-1; each position has a set of feature names."""
 
@@ -21,56 +16,57 @@ class ChainCRF:
         self.weights = np.zeros((0, labels))
         self.move = np.zeros((labels, labels))
 
-    def fit(self, pages: Sequence[Sequence[set[str]]], tags: Sequence[Sequence[int]], steps: int = 100, rate: float = 0.25, decay: float = 0.00003) -> list[float]:
+    def fit(self, pages: Sequence[Sequence[set[str]]], tags: Sequence[Sequence[int]], steps: int = 200, rate: float = 0.15, decay: float = 0.00001) -> list[float]:
         """Maximise the conditional likelihood; returns it per position for every step."""
         for features in (f for p in pages for f in p):
             for name in sorted(features):
                 self.index.setdefault(name, len(self.index))
-        longest = max(map(len, pages))
-        x = np.zeros((len(pages), longest, len(self.index)), dtype=np.float32)
-        y = np.zeros((len(pages), longest), dtype=np.int64)
-        there = np.zeros((len(pages), longest), dtype=bool)
-        for i, (page, own) in enumerate(zip(pages, tags)):
-            there[i, : len(page)] = True
-            y[i, : len(page)] = own
-            for t, features in enumerate(page):
-                x[i, t, [self.index[f] for f in features]] = 1
-        flat = x.reshape(-1, x.shape[2])
-        truth = np.eye(self.labels)[y] * there[:, :, None]
-        pairs = np.einsum("pti,ptj->ij", truth[:, :-1], truth[:, 1:])
+        order = sorted(range(len(pages)), key=lambda i: -len(pages[i]))
+        lengths = np.array([len(pages[i]) for i in order])
+        there = np.arange(lengths[0])[:, None] < lengths[None, :]  # time x page
+        at = [(t, k) for k, n in enumerate(lengths) for t in range(n)]
+        rows = np.zeros(there.shape, dtype=np.int64)
+        rows[tuple(zip(*at))] = np.arange(len(at))
+        x = np.zeros((len(at), len(self.index)), dtype=np.float32)
+        for row, (t, k) in enumerate(at):
+            x[row, [self.index[f] for f in pages[order[k]][t]]] = 1
+        y = np.array([tags[order[k]][t] for t, k in at])
+        truth = np.eye(self.labels)[y]
+        follow = there[1:]
+        pairs = np.zeros((self.labels, self.labels))
+        np.add.at(pairs, (y[rows[:-1][follow]], y[rows[1:][follow]]), 1)
         self.weights = np.zeros((len(self.index), self.labels))
         theta = [self.weights, self.move]
         first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
-        told, n = [], there.sum()
+        told, n = [], len(at)
         for step in range(1, steps + 1):
-            emit = (flat @ self.weights.astype(np.float32)).reshape(*y.shape, self.labels).astype(float)
-            gamma, moved, total = self._expect(emit, there)
+            emit = (x @ self.weights.astype(np.float32)).astype(float)
+            gamma, moved, total = self._expect(emit[rows], lengths)
             told.append(float(((truth * emit).sum() + (pairs * self.move).sum() - total) / n))
-            grads = [(flat.T @ (truth - gamma).reshape(-1, self.labels).astype(np.float32)) / n - decay * self.weights, (pairs - moved) / n - decay * self.move]
+            grads = [(x.T @ (truth - gamma[there.nonzero()][np.argsort(rows[there])]).astype(np.float32)) / n - decay * self.weights, (pairs - moved) / n - decay * self.move]
             for k, g in enumerate(grads):  # Adam
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
                 theta[k] += rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
         return told
 
-    def _expect(self, emit: np.ndarray, there: np.ndarray):
-        """Expected labels and moves, and the sum of the log partition functions."""
-        pages, longest, _ = emit.shape
+    def _expect(self, emit: np.ndarray, lengths: np.ndarray):
+        """Expected labels and moves, and the sum of the log partition functions; emit is time x page x label, pages by falling length."""
+        longest, pages, _ = emit.shape
+        live = np.searchsorted(-lengths, -np.arange(longest), side="left")  # pages longer than t
         alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
-        alpha[:, 0] = emit[:, 0]
+        alpha[0] = emit[0]
         for t in range(1, longest):
-            new = _log_sum(alpha[:, t - 1, :, None] + self.move, 1) + emit[:, t]
-            alpha[:, t] = np.where(there[:, t, None], new, alpha[:, t - 1])
-        log_z = _log_sum(alpha[:, -1], 1)
+            n = live[t]
+            alpha[t, :n] = np.logaddexp.reduce(alpha[t - 1, :n, :, None] + self.move, axis=1) + emit[t, :n]
+        log_z = np.logaddexp.reduce(alpha[lengths - 1, np.arange(pages)], axis=1)
         moved = np.zeros_like(self.move)
         for t in range(longest - 2, -1, -1):
-            ahead = (emit[:, t + 1] + beta[:, t + 1])[:, None, :]
-            live = there[:, t + 1]
-            beta[:, t] = np.where(live[:, None], _log_sum(self.move + ahead, 2), 0)
-            joint = np.exp(alpha[:, t, :, None] + self.move + ahead - log_z[:, None, None])
-            moved += joint[live].sum(axis=0)
-        gamma = np.exp(alpha + beta - log_z[:, None, None]) * there[:, :, None]
-        return gamma, moved, log_z.sum()
+            n = live[t + 1]
+            ahead = self.move + (emit[t + 1, :n] + beta[t + 1, :n])[:, None, :]
+            beta[t, :n] = np.logaddexp.reduce(ahead, axis=2)
+            moved += np.exp(alpha[t, :n, :, None] + ahead - log_z[:n, None, None]).sum(axis=0)
+        return np.exp(alpha + beta - log_z[None, :, None]), moved, log_z.sum()
 
     def scores(self, features: set[str]) -> np.ndarray:
         at = [self.index[f] for f in features if f in self.index]

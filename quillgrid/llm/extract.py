@@ -25,7 +25,7 @@ from .common import bounded
 from .crf import ChainCRF
 from .htmlblocks import Block, blocks, name_parts
 
-PAGES = 400
+PAGES = 1000
 CACHE_PATHS = 20_000
 
 _DATE = re.compile(r"\b(?:19|20)\d\d\b|\d{1,2}[./:-]\d{1,2}")
@@ -36,10 +36,12 @@ def path_features(path: tuple[tuple[str, str], ...]) -> set[str]:
     out = {f"in:{tag}" for tag, _ in path}
     if path:
         out.add(f"parent:{path[-1][0]}")
+    innermost = set()
     for _, names in path:
         if names:
-            out |= {f"name:{p}" for p in name_parts(names)}
-    return out
+            innermost = name_parts(names)
+            out |= {f"name:{p}" for p in innermost}
+    return out | {f"near:{p}" for p in innermost}
 
 
 def text_features(b: Block, at: int, n: int) -> set[str]:
@@ -75,6 +77,7 @@ REST_NAMES = {
     "comments": "comments comment disqus replies reply respond discussion thread reviews commentlist".split(),
     "share": "share social sharing buttons follow actions print meta byline author".split(),
 }
+NEUTRAL_NAMES = "box area wrap item list block x1 container wrapper section inner content body text row col widget module".split()
 _SYLLABLES = "an be ca do en fa go hi in ja ka lo mi no or pa qui ra si to un va we xe ya zu ér eau üb ñan ción lich ing the".split()
 
 
@@ -104,7 +107,7 @@ class _Writer:
             return ""
         name = r.choice(words)
         if r.random() < 0.5:
-            name += r.choice(["-", "_", "-", ""]) + r.choice([*words, "box", "area", "wrap", "item", "list", "block", "x1"]).title()
+            name += r.choice(["-", "_", "-", ""]) + r.choice([*words, *NEUTRAL_NAMES]).title()
         return f' {r.choice(["class", "class", "id"])}="{name}"'
 
     def links(self, label: int = 0) -> None:
@@ -158,61 +161,71 @@ class _Writer:
                 h.append("</ul>")
         h.append(f"</{tag}>")
 
-    def story(self) -> None:
+    def story(self, short: bool = False) -> None:
         r, h = self.r, self.html
         junk = 0.5 if r.random() < 0.15 else 0.0
-        tag = r.choice(["article", "article", "article", "main", "div", "div", "section"])
+        tag = r.choice(["article", "article", "article", "main", "div", "div", "div", "section", "td", ""])
         names = self.name(TEXT_NAMES) if tag != "article" or r.random() < 0.5 else ""
-        if tag in ("div", "section") and not names:
+        if tag in ("div", "section") and not names and r.random() < 0.8:
             names = f' class="{r.choice(TEXT_NAMES)}"'
         outer = r.random() < 0.3
         if outer:
             h.append(f"<{r.choice(['main', 'div'])}{self.name(TEXT_NAMES)}>")
-        h.append(f"<{tag}{names}>")
+        if tag == "td":
+            h.append("<table><tr>")
+            if r.random() < 0.5:
+                h.append(f"<td{self.name(REST_NAMES['nav'])}>")
+                for _ in range(r.randint(1, 4)):
+                    self.put(r.choice(["p", "div"]), f'<a href="/x">{_sentence(r, 1, 3)}</a>', 0)
+                h.append("</td>")
+        h.append(f"<{tag}{names}>" if tag else "")
         nested = r.random() < 0.15
         if nested:
             h.append(f"<{r.choice(['div', 'section'])}{self.name(TEXT_NAMES)}>")
-        if r.random() < 0.85:
+        if r.random() < (0.4 if short else 0.85):
             inner = r.random() < 0.2
             h.append("<header>" if inner else "")
             self.put(r.choice(["h1", "h1", "h2"]), _sentence(r, 2, 12, junk), 1)
             h.append("</header>" if inner else "")
-        for _ in range(r.randint(1, 14)):
-            x = r.random()
-            if x < 0.7:
+        for _ in range(r.randint(1, 3 if short else 14)):
+            x = r.random() * (0.8 if short else 1)
+            if x < 0.64:
                 text = _sentence(r, *r.choice([(1, 1), (1, 4), (5, 30), (30, 120)]), junk)
                 if r.random() < 0.2:
                     text = f"<b>{text}<br>"
                 elif r.random() < 0.2:
                     text += ' <a href="/y">' + _sentence(r, 1, 4) + "</a>"
                 self.put(r.choice(["p", "p", "p", "p", "div"]), text, 1)
-            elif x < 0.78:
+            elif x < 0.71:
                 self.put(r.choice(["h2", "h3"]), _sentence(r, 1, 6, junk), 1)
-            elif x < 0.84:
+            elif x < 0.77:
                 kind = r.choice(["ul", "ol"])
                 h.append(f"<{kind}>")
                 for _ in range(r.randint(1, 4)):
                     self.put("li", _sentence(r, 2, 15, junk), 1)
                 h.append(f"</{kind}>")
-            elif x < 0.88:
+            elif x < 0.81:
                 h.append("<blockquote>")
                 self.put("p", _sentence(r, 5, 30, junk), 1)
                 h.append("</blockquote>")
-            elif x < 0.91:
+            elif x < 0.84:
                 h.append("<table><tr>")
                 self.put("td", _sentence(r, 1, 5), 1)
                 self.put("td", _sentence(r, 1, 5), 1)
                 h.append("</tr></table>")
-            elif x < 0.92:
+            elif x < 0.86:
                 h.append(_sentence(r, 5, 30, junk) + "<hr>")
                 self.labels.append(1)
-            elif x < 0.94:
+            elif x < 0.88:
                 self.put("pre", _sentence(r, 3, 10), 1)
             else:
                 self.rest(r.choice(["ad", "side", "share", "form", "notice"]))
         if r.random() < 0.2:
             self.rest("comments")
-        h.append(f"</{tag}>")
+        if tag == "td" and r.random() < 0.4:
+            h.append(f"</td><td{self.name(REST_NAMES['side'])}>")
+            self.put("p", _sentence(r, 2, 15), 0)
+        h.append({"td": "</td></tr></table>", "": ""}.get(tag, f"</{tag}>"))
         if outer:
             h.append("</div></main>")
 
@@ -223,19 +236,21 @@ def training_pages(n: int = PAGES, seed: int = 11) -> tuple[list[list[Block]], l
     pages, tags = [], []
     for _ in range(n):
         w = _Writer(r)
+        bare = r.random() < 0.08  # nothing but the story
         w.html.append("<!DOCTYPE html><html><head>")
-        w.put("title", _sentence(r, 2, 10), 0)
+        if not bare:
+            w.put("title", _sentence(r, 2, 10), 0)
         w.html.append("</head><body>")
-        before = [k for k in ("header", "nav", "notice", "ad", "form", "side") if r.random() < 0.5]
+        before = [] if bare else [k for k in ("header", "nav", "notice", "ad", "form", "side") if r.random() < 0.5]
         r.shuffle(before)
         for kind in before:
             w.rest(kind)
-        w.story()
-        after = [k for k in ("comments", "side", "ad", "share", "form", "notice", "nav") if r.random() < 0.35]
+        w.story(bare)
+        after = [] if bare else [k for k in ("comments", "side", "ad", "share", "form", "notice", "nav") if r.random() < 0.35]
         r.shuffle(after)
         for kind in after:
             w.rest(kind)
-        if r.random() < 0.8:
+        if not bare and r.random() < 0.8:
             w.rest("footer")
         got = blocks("".join(w.html) + "</body></html>")
         if len(got) == len(w.labels):  # else a random text was empty or met its neighbour
