@@ -11,11 +11,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgrid.llm import langid, neardup, packing, quality
-from quillgrid.llm.common import stage, table
+from quillgrid.llm.common import importable, stage, table
 
 
 def _own_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """docs with columns named c0_, c1_, ... and what the four that stages read are called there."""
+    importable(docs.sparkSession)
     names = [f"c{i}_" for i in range(len(docs.columns))]
     return docs.toDF(*names), {c: names[docs.columns.index(c)] for c in ("doc_id", "text", "lang", "source")}
 
@@ -40,6 +41,7 @@ def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 tokens."""
+    importable(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
