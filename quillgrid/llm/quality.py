@@ -28,7 +28,7 @@ MAX_REPEATED = 50  # of 100 words
 MIN_GROUP = 100
 SPREAD = 3
 #: Measure, its least margin above the upper quartile, and that below the lower quartile (None: no fence).
-MEASURES = (("word_length", 1500, 1500), ("symbols", 100, None), ("repeated_lines", 500, None), ("repeated_words", 350, None))
+MEASURES = (("word_length", 1500, 1500), ("symbols", 100, None), ("repeated_lines", 500, None), ("repeated_words", 480, None))
 
 _SPACES = " \t\n\x0b\x0c\r"
 
@@ -179,7 +179,7 @@ q AS (SELECT own.lang, own.source, own.k, CASE WHEN docs < 100 THEN w1 ELSE q1 E
   FROM own LEFT JOIN wide ON own.lang IS NOT DISTINCT FROM wide.lang AND own.k = wide.k),
 fence AS (SELECT lang, source, max(q3 + greatest(3 * (q3 - q1), 1500)) FILTER (WHERE k = 1) AS h1, max(q1 - greatest(3 * (q3 - q1), 1500)) FILTER (WHERE k = 1) AS l1,
   max(q3 + greatest(3 * (q3 - q1), 100)) FILTER (WHERE k = 2) AS h2, max(q3 + greatest(3 * (q3 - q1), 500)) FILTER (WHERE k = 3) AS h3,
-  max(q3 + greatest(3 * (q3 - q1), 350)) FILTER (WHERE k = 4) AS h4 FROM q GROUP BY ALL)
+  max(q3 + greatest(3 * (q3 - q1), 480)) FILTER (WHERE k = 4) AS h4 FROM q GROUP BY ALL)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(v1 <= h1 AND v1 >= l1, true) AND coalesce(v2 <= h2, true) AND coalesce(v3 <= h3, true) AND coalesce(v4 <= h4, true) AS kept
 FROM m LEFT JOIN fence ON m.lang IS NOT DISTINCT FROM fence.lang AND m.source IS NOT DISTINCT FROM fence.source
