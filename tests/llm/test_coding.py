@@ -15,7 +15,7 @@ TIK = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special
 CODER = bpe.ByteBpe(P.path("byte_bpe_50k.tiktoken"), cache_entries=50)
 JSON = bpe.ByteBpe(P.path("byte_bpe_50k.json"))
 
-ODD = ["", " ", "a  b\n\n c\t", "it's I'll", "日本語 😀👩‍👩‍👧", "x²½ Ⅷ ٣", "\x1c\x85 \u2003\xa0a", "<|endoftext|> a", "é" * 500, "e\u0301 _a_b", "\x00\x7f", "a" * 100_000]
+ODD = ["", " ", "a ", " a", "a b ", "a\nb c,d.\n\ne f", "a \nb", "a\t b", "x  y", "don't 12ab_c a1 b2", "a  b\n\n c\t", "it's I'll", "日本語 😀👩‍👩‍👧", "x²½ Ⅷ ٣", "\x1c\x85 \u2003\xa0a", "<|endoftext|> a", "é" * 500, "e\u0301 _a_b", "\x00\x7f", "a" * 100_000]
 
 
 @pytest.mark.parametrize("text", ODD)
@@ -39,6 +39,12 @@ def test_any_text(text):
         assert raw[a:b] in text[c:d].encode()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab1 .'\n\té_s", max_size=40))
+def test_spaces_and_line_ends(text):
+    assert CODER.encode([text])[0].tolist() == TIK.encode_ordinary(text)
+
+
 def test_query_on_table(spark, sf):
     rows = {r.doc_id: r for r in QUERIES["op3_byte_bpe"](spark, sf).collect()}
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
