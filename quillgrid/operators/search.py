@@ -63,7 +63,7 @@ def bm25(docs: DataFrame, total: int | None, key: str | list[str], terms: list[s
     """
     keys = [key] if isinstance(key, str) else key
     phrases = [[t] if isinstance(t, str) else t for t in terms]
-    counted = docs.select(*keys, F.size("tokens").alias("len"), *(_occurrences(p).alias(f"f{i}") for i, p in enumerate(phrases)))
+    counted = docs.select(*keys, F.size("tokens").alias("len"), *(_occurrences(p).alias(f"f{i}") for i, p in enumerate(phrases))).persist()  # texts are taken apart once; some numbers a document are kept
     sums = counted.agg(F.count("*"), F.sum("len"), *(F.count_if(F.col(f"f{i}") > 0) for i in range(len(phrases)))).first()
     n = sums[0] if total is None else total
     if not n or not phrases:
