@@ -198,3 +198,20 @@ def test_variable_order_estimate(spark):
 
     for r in got:
         assert abs(r.log_ratio - (log_p(r.marked, texts["allow"]) - log_p(r.marked, texts["block"])) / (len(r.marked) - 1)) < 1e-9
+
+
+def test_url_models_of_many_grams(spark):
+    rng = np.random.default_rng(7)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    vocabularies = {v: ["".join(w) for w in letters[rng.integers(0, 26, (20_000, 8))]] for v in ("allow", "block")}
+
+    def made(verdict, host, n):
+        words = np.array(vocabularies[verdict])[rng.integers(0, 20_000, (n, 4))]
+        return [f"http://{host}/{'/'.join(w)}" for w in words]
+
+    texts = made("allow", "a.org", 20_000) + made("block", "a.com/de", 20_000)
+    assert len({t[i : i + 5] for t in texts for i in range(len(t) - 4)}) > 300_000
+    asked = [(v, u) for v in ("allow", "block") for u in made(v, "a.net", 1000)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(texts + [u for _, u in asked])], "page_id long, url string")
+    verdicts = {r.page_id: r.verdict for r in urls.judged(pages).where(f"page_id >= {len(texts)}").collect()}
+    assert sum(verdicts[len(texts) + k] == v for k, (v, _) in enumerate(asked)) >= 0.95 * len(asked)
