@@ -215,3 +215,19 @@ def test_url_models_of_many_grams(spark):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(texts + [u for _, u in asked])], "page_id long, url string")
     verdicts = {r.page_id: r.verdict for r in urls.judged(pages).where(f"page_id >= {len(texts)}").collect()}
     assert sum(verdicts[len(texts) + k] == v for k, (v, _) in enumerate(asked)) >= 0.95 * len(asked)
+
+
+def test_language_of_many_and_rare_languages(spark):
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    names = [f"l{k:02d}" for k in range(80)]
+    vocabulary = {n: np.array(["".join(w) for w in letters[rng.integers(0, 26, (60, 6))]]) for n in names}
+    sizes = {n: 6 for n in names} | {"l00": 3000, "l01": 40}
+    rows = [(lang, " ".join(rng.choice(vocabulary[lang], 25))) for lang, size in sizes.items() for _ in range(size)]
+    docs = spark.createDataFrame([(i, text, lang) for i, (lang, text) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, rows=100)
+    assert model.languages == names
+    asked = [(n, " ".join(rng.choice(vocabulary[n], 25))) for n in names]
+    got = model.predict_all([text for _, text in asked])
+    assert [g[0] for g in got] == names and min(g[1] for g in got) > 0.5
+    assert langid.filtered(docs).count() == len(rows)
