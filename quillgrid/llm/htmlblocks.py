@@ -6,9 +6,11 @@ import html
 import re
 from dataclasses import dataclass
 
-#: Fixed values from the HTML standard: elements without an end tag, and elements whose content is no text of the page.
+#: Fixed values from the HTML standard: elements without an end tag, and elements whose content is raw text that is not of the page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template iframe svg math object noembed noframes canvas audio video map datalist".split())
+RAW = frozenset("script style iframe noembed noframes".split())
+#: Elements with a language of their own, where <x/> has no content; blocks but for titles end them.
+FOREIGN = frozenset("svg math".split())
 #: Elements that start and end a block.
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split()
@@ -34,7 +36,8 @@ def blocks(page: str | None) -> list[Block]:
     """The leaf blocks with text in page order; white space inside a block is one space.
 
     Ends of elements that are not open are ignored but for a block's end; open elements end with an
-    ancestor that ends, and paragraphs with the start of a block.
+    ancestor that ends, and paragraphs with the start of a block. Raw text (RAW) is skipped up to its end tag,
+    or the page's end without one, as browsers do; the text of all other elements is kept.
     """
     out: list[Block] = []
     if not page:
@@ -78,7 +81,9 @@ def blocks(page: str | None) -> list[Block]:
         if tag == "br":
             parts.append(" ")
             continue
-        if tag in BLOCK:
+        foreign = next((k for k, (t, _) in enumerate(stack) if t in FOREIGN), None)
+        block = tag in BLOCK and (foreign is None or tag != "title")
+        if block:
             flush()
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
@@ -88,7 +93,9 @@ def blocks(page: str | None) -> list[Block]:
                 if stack[k][0] in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                     break
             continue
-        if tag in BLOCK:
+        if block:
+            if foreign is not None:
+                del stack[foreign:]
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
                     del stack[k:]
@@ -102,7 +109,7 @@ def blocks(page: str | None) -> list[Block]:
                     break
                 if stack[k][0] in within:
                     break
-        if tag not in VOID:
+        if tag not in VOID and not (m[3].endswith("/") and (tag in FOREIGN or foreign is not None and not block)):
             names = " ".join(x or y or z for x, y, z in _NAMES.findall(m[3])) if "=" in m[3] else ""
             stack.append((tag, names))
     flush()

@@ -231,3 +231,22 @@ def test_language_of_many_and_rare_languages(spark):
     got = model.predict_all([text for _, text in asked])
     assert [g[0] for g in got] == names and min(g[1] for g in got) > 0.5
     assert langid.filtered(docs).count() == len(rows)
+
+
+@pytest.mark.parametrize("tag", "svg math object audio video canvas map datalist template".split())
+def test_elements_without_end_keep_the_rest_of_the_page(tag):
+    rest = "<p>One</p><p>Two <b>words</b></p><div>Three</div>"
+    assert [b.text for b in htmlblocks.blocks(f"<main><p>Before <{tag} id=x></p>{rest}</main><p>Last</p>")] == ["Before", "One", "Two words", "Three", "Last"]
+    assert [b.text for b in htmlblocks.blocks(f"<main><{tag}>{rest}</main>")] == ["One", "Two words", "Three"]
+
+
+def test_text_inside_of_elements_is_kept():
+    texts = lambda page: [b.text for b in htmlblocks.blocks(page)]
+    assert texts("<p>So <math><mi>x</mi><mo>=</mo><mspace/><mn>2</mn></math> holds.</p>") == ["So x=2 holds."]
+    assert texts("<p>See <object data=a>the drawing</object> here.</p>") == ["See the drawing here."]
+    assert texts("<p>An <svg><title>icon</title><path d='M0'/></svg> here</p><p>b</p>") == ["An icon here", "b"]
+    for raw in htmlblocks.RAW:
+        assert texts(f"<p>a <{raw}>x <p>y</{raw}> b</p>") == ["a b"] and texts(f"<p>a <{raw}>x <p>y") == ["a"]
+    e = extract.Extractor(extract.trained())
+    page = "<body><main><h1>Title</h1><p>The first paragraph has <math><mi>x</mi></math> and words in it.</p><video src=a><p>The second paragraph has several words in it.</p></main></body>"
+    assert e.text(page) == "Title\nThe first paragraph has x and words in it.\nThe second paragraph has several words in it."
