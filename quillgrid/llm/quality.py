@@ -2,16 +2,24 @@
 
 Four measures of a document, in thousandths: characters a word, symbols a word, repeated lines a line,
 words in repeated three-word windows a word. Each is sketched per language and source as counts by
-bucket: a measure below 128 is its own bucket, a larger one keeps its seven leading bits, so a quantile
-is off by less than 1 in 64. Sketches merge by adding counts (per task first, then per group; a group
-with fewer than MIN_GROUP documents takes the merged sketch of its language). A document is kept if it
-passes the base rules and no measure is outside its group's fences: the quartiles, moved outwards by
-SPREAD interquartile ranges, and by no less than the measure's margin. A group has at most some hundred
-buckets a measure, so no task gets more than that for a hot source; the thresholds are joined to the
-documents by Spark's choice of join, which broadcasts only below its size limit and splits hot keys.
+bucket: a measure below 512 is its own bucket, a larger one keeps its nine leading bits, so a quantile
+is off by less than 1 in 256. Sketches merge by adding counts, per task first, then per group, then per language.
+
+A fence is a quantile of the group moved outwards by a spread of the group. For word length and symbols it is the
+upper quartile and three times the distance of the quartiles (word length: four times, and below the lower quartile too). Repeats are
+0 in most documents, so there it is the 0.99 quantile, moved by its distance from the median. Nothing but
+quantiles sets a fence: where a group has no spread, all that differs from it by more than a text's smallest
+step (STEP: two symbols, one line, one repeated window) is outside. Each quantile is the mean of the group's and its
+language's, weighted by the group's documents and PRIOR: a group of few documents leans on its language, without a
+size at which the rule changes. A document is kept if it passes the base rules and no fence is passed.
+
+A group has at most some thousand buckets a measure, so no task gets more than that for a hot source; the
+thresholds are joined to the documents by Spark's choice of join, which broadcasts only below its size limit and splits
+hot keys.
 
 Defined results: a null or empty text has no words, so all counts are 0 and base_failed is true; a null
-lang or source is a group of its own; repeated rows count each; an empty table gives no rows.
+lang or source is a group of its own; a very long text is measured whole; equal values share a bucket, so ties fall on
+the same side; repeated rows count each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,10 +33,21 @@ from .common import bounded, stage, words
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED = 50  # of 100 words
-MIN_GROUP = 100
-SPREAD = 3
-#: Measure, its least margin above the upper quartile, and that below the lower quartile (None: no fence).
-MEASURES = (("word_length", 1500, 1500), ("symbols", 100, None), ("repeated_lines", 500, None), ("repeated_words", 480, None))
+#: Documents that the language's quantiles count as beside the group's own.
+PRIOR = 30
+#: Leading bits that a bucket keeps.
+BITS = 9
+#: Quantiles that are taken, in hundredths.
+QUANTILES = (25, 50, 75, 99)
+#: Measure, its count and what that is divided by; fence: quantile, spread as (times, from, to), and the same below.
+MEASURES = (
+    ("word_length", "word_chars", "n_words", (75, 4, 25, 75), (25, 4, 25, 75)),
+    ("symbols", "n_symbols", "n_words", (75, 3, 25, 75), None),
+    ("repeated_lines", "n_dup_lines", "n_lines", (99, 1, 50, 99), None),
+    ("repeated_words", "n_repeat_words", "n_words", (99, 1, 50, 99), None),
+)
+#: The smallest steps of a text, which no fence of 0 can tell apart from chance.
+STEP = {"symbols": 2, "repeated_lines": 1, "repeated_words": 6}
 
 _SPACES = " \t\n\x0b\x0c\r"
 
@@ -74,71 +93,72 @@ def features(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFr
 
 def with_measures(counts: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    ratio = lambda a, b: F.expr(f"1000 * {a} div greatest({b}, 1L)")
-    return counts.withColumns({
-        "base_failed": failed,
-        "word_length": ratio("word_chars", "n_words"), "symbols": ratio("n_symbols", "n_words"),
-        "repeated_lines": ratio("n_dup_lines", "n_lines"), "repeated_words": ratio("n_repeat_words", "n_words"),
-    })
+    ratios = {name: F.expr(f"1000 * {count} div greatest({of}, 1L)") for name, count, of, _, _ in MEASURES}
+    return counts.withColumns({"base_failed": failed, **ratios})
 
 
 def bucket(value: Column) -> Column:
-    """The least value of its bucket: seven leading bits are kept."""
-    bits = F.greatest(F.length(F.bin(value)) - 7, F.lit(0))
+    """The least value of its bucket: BITS leading bits are kept."""
+    bits = F.greatest(F.length(F.bin(value)) - BITS, F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", value, bits), bits)
 
 
 def sketches(measures: DataFrame, lang: str, source: str) -> DataFrame:
     """(lang, source, measure, bucket, n) over the documents that pass the base rules."""
-    each = F.explode(F.array(*(F.struct(F.lit(name).alias("measure"), bucket(F.col(name)).alias("bucket")) for name, _, _ in MEASURES)))
+    each = F.explode(F.array(*(F.struct(F.lit(m[0]).alias("measure"), bucket(F.col(m[0])).alias("bucket")) for m in MEASURES)))
     rows = measures.where("not base_failed").select(F.col(lang).alias("lang"), F.col(source).alias("source"), each.alias("x"))
     return rows.groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """(keys, measure, n, q1, q3): the least buckets that hold a quarter and three quarters of the documents."""
+def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """(keys, measure, docs, q<k>): the least buckets up to which k of 100 documents are."""
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     over = Window.partitionBy(*keys, "measure")
     run = merged.withColumns({"below": F.sum("n").over(over.orderBy("bucket")), "total": F.sum("n").over(over)})
-    least = lambda k: F.min(F.when(4 * F.col("below") >= k * F.col("total"), F.col("bucket")))
-    return run.groupBy(*keys, "measure").agg(F.max("total").alias("docs"), least(1).alias("q1"), least(3).alias("q3"))
+    least = [F.min(F.when(100 * F.col("below") >= k * F.col("total"), F.col("bucket"))).alias(f"q{k}") for k in QUANTILES]
+    return run.groupBy(*keys, "measure").agg(F.max("total").alias("docs"), *least)
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """One row a (lang, source): the fences low_<measure> and high_<measure>."""
-    own, wide = quartiles(sketch, "lang", "source"), quartiles(sketch, "lang")
-    wide = wide.select(F.col("lang").alias("lang2"), F.col("measure").alias("measure2"), F.col("q1").alias("w1"), F.col("q3").alias("w3"))
-    both = own.join(wide, F.col("lang").eqNullSafe(F.col("lang2")) & (F.col("measure") == F.col("measure2")), "left")
-    few = F.col("docs") < MIN_GROUP
-    both = both.select("lang", "source", "measure", F.when(few, F.col("w1")).otherwise(F.col("q1")).alias("q1"), F.when(few, F.col("w3")).otherwise(F.col("q3")).alias("q3"))
-    move = lambda margin: F.greatest(SPREAD * (F.col("q3") - F.col("q1")), F.lit(margin).cast("bigint"))
+    """One row a (lang, source): the fences high_<measure> and low_<measure>."""
+    own, wide = quantiles(sketch, "lang", "source"), quantiles(sketch, "lang")
+    wide = wide.select(F.col("lang").alias("lang2"), F.col("measure").alias("measure2"), *(F.col(f"q{k}").alias(f"w{k}") for k in QUANTILES))
+    both = own.join(wide, F.col("lang").eqNullSafe(F.col("lang2")) & (F.col("measure") == F.col("measure2")))
+    both = both.select("lang", "source", "measure", *(F.expr(f"(docs * q{k} + {PRIOR} * w{k}) div (docs + {PRIOR})").alias(f"q{k}") for k in QUANTILES))
     fences = []
-    for name, up, down in MEASURES:
+    for name, _, _, up, down in MEASURES:
         here = F.col("measure") == name
-        fences.append(F.max(F.when(here, F.col("q3") + move(up))).alias(f"high_{name}"))
+        at, times, a, b = up
+        fences.append(F.max(F.when(here, F.col(f"q{at}") + times * (F.col(f"q{b}") - F.col(f"q{a}")))).alias(f"high_{name}"))
         if down is not None:
-            fences.append(F.min(F.when(here, F.col("q1") - move(down))).alias(f"low_{name}"))
+            at, times, a, b = down
+            fences.append(F.max(F.when(here, F.col(f"q{at}") - times * (F.col(f"q{b}") - F.col(f"q{a}")))).alias(f"low_{name}"))
     return both.groupBy("lang", "source").agg(*fences)
 
 
 def passed(measures: DataFrame, fences: DataFrame, lang: str, source: str) -> DataFrame:
-    """measures with `kept`, true where the base rules and all fences of its group are passed."""
+    """measures with `outside`, the measures beyond their group's fences, and `kept`: none is, and the base rules are passed."""
     told = fences.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     out = measures.join(told, F.col(f"`{lang}`").eqNullSafe(F.col("_lang")) & F.col(f"`{source}`").eqNullSafe(F.col("_source")), "left")
-    good = ~F.col("base_failed")
-    for name, _, down in MEASURES:
-        good &= F.coalesce(F.col(name) <= F.col(f"high_{name}"), F.lit(True))
+    beyond = []
+    for name, count, of, _, down in MEASURES:
+        if name in STEP:
+            bad = 1000 * (F.col(count) - STEP[name]) > F.col(f"high_{name}") * F.greatest(F.col(of), F.lit(1))
+        else:
+            bad = bucket(F.col(name)) > F.col(f"high_{name}")
         if down is not None:
-            good &= F.coalesce(F.col(name) >= F.col(f"low_{name}"), F.lit(True))
-    return out.withColumn("kept", good)
+            bad |= bucket(F.col(name)) < F.col(f"low_{name}")
+        beyond.append(F.when(bad, name))
+    outside = F.when(F.col("base_failed"), "").otherwise(F.concat_ws(",", *beyond))
+    return out.withColumn("outside", outside).withColumn("kept", ~F.col("base_failed") & (F.col("outside") == ""))
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(doc_id, the counts, base_failed, kept) of every row."""
+    """(doc_id, the counts, base_failed, kept, outside) of every row; outside names the measures beyond the group's fences."""
     measures = with_measures(stage(features(docs, [id_col, lang, source], text_col), "quality"))
     fences = stage(thresholds(sketches(measures, lang, source)), "fences")
     out = passed(measures, fences, lang, source)
-    return out.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "outside")
 
 
 def filtered(docs: DataFrame, text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -169,18 +189,23 @@ f AS (SELECT d.r, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regex
 m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 1000 * word_chars // greatest(n_words, 1) AS v1,
   1000 * n_symbols // greatest(n_words, 1) AS v2, 1000 * n_dup_lines // greatest(n_lines, 1) AS v3, 1000 * n_repeat_words // greatest(n_words, 1) AS v4 FROM f),
 l AS (SELECT lang, source, unnest([1, 2, 3, 4]) AS k, unnest([v1, v2, v3, v4]) AS v FROM m WHERE NOT base_failed),
-s AS (SELECT lang, source, k, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS bucket, count(*) AS n FROM l GROUP BY ALL),
+s AS (SELECT lang, source, k, (v >> greatest(length(bin(v)) - 9, 0)) << greatest(length(bin(v)) - 9, 0) AS bucket, count(*) AS n FROM l GROUP BY ALL),
 g AS (SELECT lang, source, k, bucket, sum(n) OVER (PARTITION BY lang, source, k ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY lang, source, k) AS total FROM s),
-own AS (SELECT lang, source, k, max(total) AS docs, min(bucket) FILTER (WHERE 4 * below >= total) AS q1, min(bucket) FILTER (WHERE 4 * below >= 3 * total) AS q3 FROM g GROUP BY ALL),
+own AS (SELECT lang, source, k, max(total) AS docs, min(bucket) FILTER (WHERE 100 * below >= 25 * total) AS q25, min(bucket) FILTER (WHERE 100 * below >= 50 * total) AS q50,
+  min(bucket) FILTER (WHERE 100 * below >= 75 * total) AS q75, min(bucket) FILTER (WHERE 100 * below >= 99 * total) AS q99 FROM g GROUP BY ALL),
 s2 AS (SELECT lang, k, bucket, sum(n) AS n FROM s GROUP BY ALL),
 g2 AS (SELECT lang, k, bucket, sum(n) OVER (PARTITION BY lang, k ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY lang, k) AS total FROM s2),
-wide AS (SELECT lang, k, min(bucket) FILTER (WHERE 4 * below >= total) AS w1, min(bucket) FILTER (WHERE 4 * below >= 3 * total) AS w3 FROM g2 GROUP BY ALL),
-q AS (SELECT own.lang, own.source, own.k, CASE WHEN docs < 100 THEN w1 ELSE q1 END AS q1, CASE WHEN docs < 100 THEN w3 ELSE q3 END AS q3
-  FROM own LEFT JOIN wide ON own.lang IS NOT DISTINCT FROM wide.lang AND own.k = wide.k),
-fence AS (SELECT lang, source, max(q3 + greatest(3 * (q3 - q1), 1500)) FILTER (WHERE k = 1) AS h1, max(q1 - greatest(3 * (q3 - q1), 1500)) FILTER (WHERE k = 1) AS l1,
-  max(q3 + greatest(3 * (q3 - q1), 100)) FILTER (WHERE k = 2) AS h2, max(q3 + greatest(3 * (q3 - q1), 500)) FILTER (WHERE k = 3) AS h3,
-  max(q3 + greatest(3 * (q3 - q1), 480)) FILTER (WHERE k = 4) AS h4 FROM q GROUP BY ALL)
-SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(v1 <= h1 AND v1 >= l1, true) AND coalesce(v2 <= h2, true) AND coalesce(v3 <= h3, true) AND coalesce(v4 <= h4, true) AS kept
-FROM m LEFT JOIN fence ON m.lang IS NOT DISTINCT FROM fence.lang AND m.source IS NOT DISTINCT FROM fence.source
+wide AS (SELECT lang, k, min(bucket) FILTER (WHERE 100 * below >= 25 * total) AS w25, min(bucket) FILTER (WHERE 100 * below >= 50 * total) AS w50,
+  min(bucket) FILTER (WHERE 100 * below >= 75 * total) AS w75, min(bucket) FILTER (WHERE 100 * below >= 99 * total) AS w99 FROM g2 GROUP BY ALL),
+q AS (SELECT own.lang, own.source, own.k, (docs * q25 + 30 * w25) // (docs + 30) AS q25, (docs * q50 + 30 * w50) // (docs + 30) AS q50,
+  (docs * q75 + 30 * w75) // (docs + 30) AS q75, (docs * q99 + 30 * w99) // (docs + 30) AS q99
+  FROM own JOIN wide ON own.lang IS NOT DISTINCT FROM wide.lang AND own.k = wide.k),
+fence AS (SELECT lang, source, max(q75 + 4 * (q75 - q25)) FILTER (WHERE k = 1) AS h1, max(q25 - 4 * (q75 - q25)) FILTER (WHERE k = 1) AS l1,
+  max(q75 + 3 * (q75 - q25)) FILTER (WHERE k = 2) AS h2, max(q99 + (q99 - q50)) FILTER (WHERE k = 3) AS h3, max(q99 + (q99 - q50)) FILTER (WHERE k = 4) AS h4 FROM q GROUP BY ALL),
+b AS (SELECT m.*, h1, l1, h2, h3, h4, (v1 >> greatest(length(bin(v1)) - 9, 0)) << greatest(length(bin(v1)) - 9, 0) AS b1
+  FROM m LEFT JOIN fence ON m.lang IS NOT DISTINCT FROM fence.lang AND m.source IS NOT DISTINCT FROM fence.source),
+o AS (SELECT *, CASE WHEN base_failed THEN '' ELSE concat_ws(',', CASE WHEN b1 > h1 OR b1 < l1 THEN 'word_length' END,
+  CASE WHEN 1000 * (n_symbols - 2) > h2 * greatest(n_words, 1) THEN 'symbols' END, CASE WHEN 1000 * (n_dup_lines - 1) > h3 * greatest(n_lines, 1) THEN 'repeated_lines' END,
+  CASE WHEN 1000 * (n_repeat_words - 6) > h4 * greatest(n_words, 1) THEN 'repeated_words' END) END AS outside FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND outside = '' AS kept, outside FROM o
 """

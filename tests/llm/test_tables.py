@@ -139,6 +139,49 @@ def test_quality_of_odd_rows(spark):
     assert quality.judged(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).collect() == []
 
 
+def test_fences_follow_their_group(spark):
+    """Groups of other habits get other fences, whatever their size; the same text is in or out by its group."""
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join("abcdefghij"[k] for k in rng.integers(0, 10, n))
+
+    def text(length, symbols, n=100):
+        own = [word(int(length + rng.integers(-1, 2))) for _ in range(n)]
+        return " ".join(w + "#" * int(k < symbols) for k, w in enumerate(own))
+
+    rows = [(f"{lang}{source}", text(length, int(rng.integers(0, symbols + 1))), lang, source) for lang, source, length, symbols, n in [("x", "plain", 4, 0, 200), ("x", "code", 8, 40, 200), ("x", "few", 8, 40, 12), ("y", "plain", 12, 0, 150)] for _ in range(n)]
+    docs = spark.createDataFrame([(i, t, lang, source) for i, (_, t, lang, source) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    measures = quality.with_measures(quality.features(docs, ["doc_id", "lang", "source"]))
+    fences = {(r.lang, r.source): r for r in quality.thresholds(quality.sketches(measures, "lang", "source")).collect()}
+    assert fences["x", "plain"].high_symbols < 200 and fences["x", "code"].high_symbols > 400
+    assert fences["x", "plain"].high_word_length < fences["x", "code"].high_word_length < fences["y", "plain"].high_word_length
+    assert fences["x", "plain"].high_symbols < fences["x", "few"].high_symbols < fences["x", "code"].high_symbols  # between its own and its language's
+    out = quality.judged(docs.union(spark.createDataFrame([(9001, text(4, 30), "x", "plain"), (9002, text(8, 30), "x", "code"), (9003, text(4, 0), "y", "plain")], docs.schema)))
+    told = {r.doc_id: r.outside for r in out.where("doc_id > 9000").collect()}
+    assert "symbols" in told[9001] and told[9002] == "" and told[9003] == "word_length"
+    assert out.where("not kept and doc_id < 9000 and source != 'few'").count() <= 5
+
+
+def test_every_measure_rejects_on_its_own(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join("abcdefghij"[k] for k in rng.integers(0, 10, 6))
+    lines = lambda n: [" ".join(word() for _ in range(10)) for _ in range(n)]
+    rows = [(i, "\n".join(lines(10))) for i in range(300)]
+    one, twice = lines(12), [word() for _ in range(30)]
+    rows += [(1001, " ".join(w + "xxxxxxxxxx" for w in " ".join(lines(10)).split())), (1002, "\n".join(f"{x} ###" for x in lines(10)))]
+    rows += [(1003, "\n".join(one + ["ab"] * 6)), (1004, " ".join(" ".join(lines(6)).split() + twice + twice))]
+    docs = spark.createDataFrame([(i, t, "l", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.outside, r.kept, r.base_failed) for r in quality.judged(docs).collect()}
+    assert got[1001][0] == "word_length" and "symbols" in got[1002][0] and "repeated_lines" in got[1003][0] and got[1004][0] == "repeated_words"
+    assert not any(got[i][2] or got[i][1] for i in range(1001, 1005)) and all(got[i][1] for i in range(300))
+
+
+def test_quality_of_a_very_long_text_and_clashing_columns(spark):
+    rows = [(1, "lorem ipsum dolor " * 200_000, "l", "s", 1, 2, "x"), (2, " ".join(f"w{i}" for i in range(300_000)), "l", "s", 1, 2, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words long, symbols long, outside string")
+    got = {r.doc_id: r for r in quality.judged(docs).collect()}
+    assert got[1].n_words == 600_000 and got[1].base_failed and got[2].n_words == 300_000 and got[2].n_repeat_words == 0 and got[2].kept
+
+
 @pytest.mark.parametrize("text,want", [("a b c", 0), ("a b c a b c", 6), ("a a a a", 4), ("x a b c y a b c z", 6), ("a b a b a", 5), ("", 0)])
 def test_repeated_words(text, want):
     own = text.encode().split()
