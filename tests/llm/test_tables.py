@@ -246,7 +246,129 @@ def test_chat(spark):
     assert chat.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
-@pytest.mark.parametrize("value,schema,n", [(1, {"type": "integer"}, 0), (True, {"type": "integer"}, 1), ("a", {"enum": ["a", 1]}, 0), ([1, "x"], {"items": {"type": "number"}}, 1), ({"a": 1}, {"required": ["b"]}, 1), (None, {"type": ["null", "string"]}, 0), ({"$ref": "x"}, {"type": "integer"}, 0), ("abc", {"maxLength": 2}, 1), (5, "not a schema", 0)])
+def brute_chat(rows):
+    """(position, links) by row number, from the rules alone: messages are (conv, turn, calls [(id, refs)], result_of)."""
+    turn_of = lambda i: 2**62 if rows[i][1] is None else rows[i][1]
+    first, results = {}, {}
+    for i in sorted(range(len(rows)), key=lambda i: (turn_of(i), i)):
+        for k, (name, _) in enumerate(rows[i][2]):
+            first.setdefault((rows[i][0], name), (i, k))
+        if rows[i][3] is not None:
+            results.setdefault((rows[i][0], rows[i][3]), []).append(i)
+    waits, links = {}, {}
+    for i, (conv, _, calls, of) in enumerate(rows):
+        links[i] = ["duplicate" if first[conv, n] != (i, k) else "linked" if (conv, n) in results else "open" for k, (n, _) in enumerate(calls)]
+        waits[i] = {j for _, refs in calls for r in refs if (conv, r) in first for j in results.get((conv, r), ())} - {i}
+        if of is not None:
+            links[i].append("linked" if (conv, of) in first else "orphan")
+            if (conv, of) in first:
+                waits[i] |= {first[conv, of][0]} - {i}
+    place = {}
+    while True:
+        new = [i for i in waits if i not in place and all(j in place for j in waits[i])]
+        if not new:
+            break
+        place |= {i: max([(turn_of(i), 0), *((place[j][0], place[j][1] + 1) for j in waits[i])]) for i in new}
+    for i in waits:
+        if i not in place:
+            links[i].append("cycle")
+    position = {}
+    for conv in {r[0] for r in rows}:
+        own = sorted((i for i in waits if rows[i][0] == conv), key=lambda i: (*place.get(i, (turn_of(i), 0)), turn_of(i), i))
+        position |= {i: k for k, i in enumerate(own)}
+        ordered = [i for i in own if i in place]
+        assert all(position[j] < position[i] for i in ordered for j in waits[i])  # topological
+    return position, {i: ",".join(x) for i, x in links.items()}
+
+
+def random_chat(seed, n, convs, ids):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for _ in range(n):
+        conv, turn = int(rng.integers(convs)), None if rng.random() < 0.03 else int(rng.integers(n // 2))
+        calls = [(f"i{rng.integers(ids)}", [f"i{rng.integers(ids)}" for _ in range(rng.integers(0, 3))]) for _ in range(rng.choice([0, 0, 1, 2]))]
+        rows.append((None if conv == 0 else conv, turn, calls, f"i{rng.integers(ids)}" if rng.random() < 0.5 else None))
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["cycles", "chains", "large groups", "many ranges"])
+def test_chat_equals_brute_force(spark, monkeypatch, kind):
+    rows = random_chat(1, 300, 12, 12) + random_chat(2, 300, 60, 400) if kind != "chains" else []
+    if kind == "chains":  # every message waits for one of a later turn
+        for conv in range(3):
+            rows += [x for k in range(40) for x in ((conv, 100 - 2 * k, [(f"c{k}", [f"c{k - 1}"] if k else [])], None), (conv, 99 - 2 * k, [], f"c{k}"))]
+    if kind == "large groups":
+        monkeypatch.setattr(chat, "GROUP_EDGES", 3)
+    if kind == "many ranges":
+        monkeypatch.setattr(chat, "RANGE", 40)
+
+    def text(calls, of):
+        body = {"content": "x"} | ({"tool_calls": [{"id": i, "name": "f", "arguments": {"k": [{"$ref": r} for r in refs]}} for i, refs in calls]} if calls else {}) | ({"tool_call_id": of} if of else {})
+        return json.dumps(body) if calls or of else "plain"
+
+    table = [(c, t, str(k), text(calls, of)) for k, (c, t, calls, of) in enumerate(rows)]
+    docs = spark.createDataFrame(table, "conv_id long, turn long, role string, text string").coalesce(1)
+    got = {int(r.role): (r.position, r.links) for r in chat.formatted(docs).collect()}
+    position, links = brute_chat(rows)
+    assert got == {i: (position[i], links[i]) for i in position}
+    assert kind == "chains" or sum("cycle" in x for x in links.values()) > 20
+
+
+def test_jobs_do_not_grow_with_waiting_messages(spark):
+    put = json.dumps
+    call = lambda i, ref: put({"tool_calls": [{"id": i, "name": "f", "arguments": {"$ref": ref}}]})
+
+    def jobs(pairs):
+        rows = [(0, 0, "a", call("self", "self")), (0, 1, "t", put({"tool_call_id": "self"}))]
+        rows += [(1, -2 * k, "a", call(f"i{k}", f"i{k - 1}")) for k in range(pairs)] + [(1, -2 * k - 1, "t", put({"tool_call_id": f"i{k}"})) for k in range(pairs)]
+        spark.sparkContext.setJobGroup(f"chat{pairs}", "")
+        got = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert [r.turn for r in sorted((r for r in got if r.conv_id == 1), key=lambda r: r.position)][:4] == [0, -1, -2, -3]
+        assert sum("cycle" in r.links for r in got) == 2
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chat{pairs}"))
+
+    assert jobs(120) <= jobs(6) + 40  # the rounds that connect a chain grow with the logarithm of its length
+
+
+def test_json_of_any_depth_and_half_pairs(spark):
+    deep = lambda n: "[" * n + "1" + "]" * n
+    nest = lambda n: '{"a":' * n + "1" + "}" * n
+    schema = '{"items":' * 3000 + '{"type":"string"}' + "}" * 3000
+    rows = [
+        (1, 0, "a", '{"tool_calls":[{"id":"x","name":"f","arguments":%s}]}' % deep(100_000)),
+        (1, 1, "a", '{"tool_calls":[{"id":"y","name":"f","arguments":"%s"}]}' % nest(5000).replace('"', '\\"')),
+        (1, 2, "t", '{"tool_call_id":"x","content":%s}' % nest(20_000)),
+        (1, 3, "t", '{"tool_call_id":"y\\ud800","content":"a\\udc00b \\ud83d\\ude00"}'),
+        (2, 0, "s", '{"tools":[{"name":"g","parameters":%s}]}' % schema),
+        (2, 1, "a", '{"tool_calls":[{"id":"z","name":"g","arguments":%s}]}' % deep(3000)),
+        (2, 2, "a", '{"tool_calls":[{"id":["q"],"name":{"n":1},"arguments":1e999}]}'),
+        (2, 3, "u", "{" * 50_000), (2, 4, "u", '{"tool_calls": [' + "[" * 50_000),
+        (2, 5, "u", "long " * 400_000),
+    ]
+    docs = spark.createDataFrame([(*r, 1, "x", None) for r in rows], "conv_id long, turn long, role string, text string, position long, line string, calls string")
+    got = {(r.conv_id, r.turn): r for r in chat.formatted(docs).collect()}
+    assert len(got) == len(rows)
+    assert got[1, 0].links == "linked" and deep(100_000) in got[1, 0].line and nest(5000) in got[1, 1].line and got[1, 1].links == "open"
+    assert got[1, 2].links == "linked" and json.loads(got[1, 2].line)["content"] == nest(20_000)
+    assert json.loads(got[1, 3].line) == {"content": "a�b 😀", "link": "orphan", "role": "t", "tool_call_id": "y�"}
+    assert not got[2, 1].valid and "not string" in got[2, 1].line
+    assert '"id":"[\\"q\\"]"' in got[2, 2].line and '"arguments":null' in got[2, 2].line
+    assert json.loads(got[2, 3].line)["content"] == "{" * 50_000 and json.loads(got[2, 5].line)["content"] == "long " * 400_000
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, 2.5, {"b": null}], "c": "x\\"{}[],:"}', "[]", "{}", " [ { } , [ ] ] ", '"x"', "-1.5e3", "[1,]", "[,1]", "{,}", '{"a"}', '{"a":}', '{"a":1,}', "[1 2]", "[1]]", "[", "]", '{"a":1 "b":2}', "1 2", '{1:2}', "[tru]", '{"a":1,"a":2}', "", '["a"b]'])
+def test_deep_reader_equals_the_librarys(text):
+    try:
+        want = json.loads(text)
+    except ValueError:
+        with pytest.raises(ValueError):
+            chat._deep(text)
+    else:
+        assert chat._deep(text) == want and chat.canonical(want) == json.dumps(want, sort_keys=True, separators=(",", ":"))
+
+
+@pytest.mark.parametrize("value,schema,n", [(1, {"type": "integer"}, 0), (True, {"type": "integer"}, 1), ("a", {"enum": ["a", 1]}, 0), ([1, "x"], {"items": {"type": "number"}}, 1), ({"a": 1}, {"required": ["b"]}, 1), (None, {"type": ["null", "string"]}, 0), ({"$ref": "x"}, {"type": "integer"}, 0), ("abc", {"maxLength": 2}, 1), (5, "not a schema", 0), (5, {"type": [["a"], {}]}, 1), ({}, {"required": [["a"]]}, 0)])
 def test_schemas(value, schema, n):
     assert len(chat.faults(value, schema)) == n
 
