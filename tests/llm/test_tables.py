@@ -1,4 +1,5 @@
 import json
+import math
 from collections import Counter
 
 import duckdb
@@ -191,16 +192,16 @@ def test_repeated_words(text, want):
 
 
 def brute_top(rows, k=5, every=50):
-    use = [(n, i, np.floor(256 * np.array(v, dtype=float)).astype(int)) for n, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    use = [(n, i, np.array([math.floor(256 * x) for x in v], dtype=object)) for n, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for n, i, q in use:
         if i % every == 0:
             best = sorted((-int(q @ p), j, m) for m, j, p in use if m != n and len(p) == len(q))[:k]
             out += [(i, r, j, -s) for r, (s, j, _) in enumerate(best, 1)]
-    return sorted(out)
+    return sorted((i, r, j, max(-(2**63), min(2**63 - 1, s))) for i, r, j, s in out)
 
 
-@pytest.mark.parametrize("kind", ["unit", "lengths", "copies", "odd"])
+@pytest.mark.parametrize("kind", ["unit", "lengths", "copies", "odd", "dims", "1e7", "1e12", "1e15", "mixed"])
 def test_top_k(spark, monkeypatch, kind):
     monkeypatch.setattr(topk, "BUCKET", 40)
     monkeypatch.setattr(topk, "BLOCK", 3)
@@ -211,11 +212,32 @@ def test_top_k(spark, monkeypatch, kind):
         x *= np.exp(rng.normal(size=(400, 1)) * 1.5)
     if kind == "copies":
         x[100:300] = x[100]
+    if kind[0] == "1":
+        x *= float(kind)
+    if kind == "mixed":
+        x *= 10.0 ** rng.integers(-3, 15, size=(400, 1))
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    if kind == "dims":
+        rows = [(i, v[: 1 + i % 7]) for i, v in rows]
+    if kind == "mixed":  # of components whose squares no double holds, too
+        rows += [(1000, [1e200] * 8), (1001, [-1e200] * 8), (1002, [1e7, 1.0] + [0.0] * 6)]
     if kind == "odd":
         rows += [(None, [1.0] * 8), (500, None), (550, []), (600, [float("nan")] * 8), (650, [None] * 8), (700, [1.0, 2.0]), (750, [2.0, -1.0]), (50, [0.0] * 8), (3, rows[3][1])]
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    assert sorted(tuple(r) for r in got) == brute_top(rows)
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, norm long, uid string")
+    got, want = sorted(tuple(r) for r in topk.top_k(docs).collect()), brute_top(rows)
+    if kind == "mixed":  # beyond 2**126 scores are the greatest that the engine compares, and equal
+        want = [r for r in want if r[0] != 1000]
+        assert sum(r[0] == 1000 for r in got) == 5 and all(r[3] == 2**63 - 1 for r in got if r[0] == 1000)
+        got = [r for r in got if r[0] != 1000]
+        assert [(r[0], r[1], r[3]) for r in got] == [(r[0], r[1], r[3]) for r in want]
+        return
+    assert got == want
+
+
+def test_large_components(spark):
+    rows = [(0, [1e7, 1.0]), (1, [1e7, 1.0]), (2, [1e7, 2.0]), (3, [3.0, 1e12])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(2, 2**16 * (10**14 + 2)), (1, 2**16 * (10**14 + 1)), (3, 2**16 * (3 * 10**7 + 10**12))]
 
 
 def test_top_k_of_an_empty_table(spark):
