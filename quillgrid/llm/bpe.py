@@ -2,7 +2,8 @@
 
 The alphabet of a byte-level BPE maps each byte to one printable character. `ByteBpe` holds the
 library's model, that byte table in both directions, and a bounded cache from pre-token to ids:
-each match of the split pattern is encoded separately, so equal matches have equal ids.
+each match of the split pattern is encoded separately, so equal matches have equal ids. A .json vocabulary may
+have added tokens; a text that spells one goes to the library as it is, which gives the token's own id. A file of ranks has none.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; rows with a null doc_id,
 repeated rows and extra columns of documents are allowed, every input row gives one output row.
@@ -22,13 +23,14 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded
+from .common import bounded, spread
 
 #: The printable bytes that the byte-level alphabet keeps as they are.
 PRINTABLE = (range(0x21, 0x7F), range(0xA1, 0xAD), range(0xAE, 0x100))
 
-#: Pre-tokens kept per Python worker; beyond the bound they are kept for a batch only (ids never depend on it).
+#: Pre-tokens kept per Python worker, and their bytes; beyond these bounds they are kept for a batch only (ids never depend on it).
 CACHE_ENTRIES = 450_000
+CACHE_BYTES = 1 << 25
 
 #: In texts of these characters alone, Python's `re` classes agree with the Unicode classes of the pattern.
 _UNUSUAL = re.compile("[^\t\n\x0b\x0c\r -~¡-©«-±´¶-¸»¿-ɏ‐-‧‰-⁞]")
@@ -81,6 +83,7 @@ class ByteBpe:
             vocab = {token: i for token, i in whole.get_vocab(with_added_tokens=False).items() if token not in special}
             self.bytes_of = {i: bytes(back[c] for c in token) for token, i in vocab.items()}
             self.bytes_of |= {i: t.content.encode() for i, t in whole.get_added_tokens_decoder().items()}
+            self.added = sorted(t.content for t in whole.get_added_tokens_decoder().values())
         else:
             ranks = read_ranks(path)
             spell = lambda raw: "".join(table[b] for b in raw)
@@ -88,7 +91,8 @@ class ByteBpe:
             whole = Tokenizer(model)
             whole.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.bytes_of = {r: t for t, r in ranks.items()}
-        whole.encode_special_tokens = True
+            self.added = []
+            whole.encode_special_tokens = True
         self.whole = whole
         self.model = whole.model
         #: from the character of each byte's number to that of the byte-level alphabet
@@ -97,6 +101,7 @@ class ByteBpe:
         self.fast = pattern == public_tokenizers.PATTERN
         self.cache: dict[str, bytes] = {}
         self.cache_entries = cache_entries
+        self.cache_bytes = 0
         self.pieces = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
         self.decimals = [b"%d" % i for i in range(len(self.pieces))]
 
@@ -106,7 +111,7 @@ class ByteBpe:
         out: list = [None] * len(texts)
         split, odd = {}, []
         for k, t in enumerate(texts):
-            if self.fast and not _UNUSUAL.search(t):
+            if self.fast and not _UNUSUAL.search(t) and not any(map(t.__contains__, self.added)):
                 split[k] = _SPLIT.findall(t)
             else:
                 odd.append(k)
@@ -114,15 +119,18 @@ class ByteBpe:
         for parts in split.values():
             unseen.update(parts)
         unseen.difference_update(self.cache)
-        parts = list(unseen)
-        room = self.cache_entries - len(self.cache)
         tokenize, spell, width = self.model.tokenize, self.spell, self.width.char
-        for part in parts:  # merges of one pre-token; whole texts would be split again
-            self.cache[part] = array(width, [t.id for t in tokenize(part.encode().decode("latin-1").translate(spell))]).tobytes()
+        passing = []  # kept for this batch only
+        for part in unseen:  # merges of one pre-token; whole texts would be split again
+            own = self.cache[part] = array(width, [t.id for t in tokenize(part.encode().decode("latin-1").translate(spell))]).tobytes()
+            if len(self.cache) - len(passing) > self.cache_entries or self.cache_bytes + len(part) + len(own) > CACHE_BYTES:
+                passing.append(part)
+            else:
+                self.cache_bytes += len(part) + len(own)
         find = self.cache.__getitem__
         for k, own in split.items():
             out[k] = np.frombuffer(b"".join(map(find, own)), dtype=self.width)
-        for part in parts[max(0, room) :]:
+        for part in passing:
             del self.cache[part]
         for k, got in zip(odd, self.whole.encode_batch_fast([texts[k] for k in odd], add_special_tokens=False)):
             out[k] = np.array(got.ids, dtype=self.width)
@@ -187,7 +195,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                 names += ["byte_spans", "char_spans"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, ids array<int>{extra}")
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, f"{id_col} {kind}, ids array<int>{extra}")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -218,4 +226,4 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
                 back.append(hashlib.sha256(coder.decode_bytes(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(counts, pa.int64()), pa.array(told), pa.array(back)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

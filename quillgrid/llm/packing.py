@@ -8,7 +8,8 @@ against smallest, until one is left. k starts at the total over the capacity and
 window exceeds the capacity. No key is grouped and nothing shuffled, so no group can be hot.
 
 Defined results: a null or empty text is the end id alone; a null doc_id is packed as any other;
-repeated rows are packed each; an empty table gives no rows; extra columns are ignored. Tasks that
+repeated rows are packed each; an empty table gives no rows; extra columns are ignored; a text that spells an
+added token of the vocabulary has that token's id there, as the tokenizers library gives it. Tasks that
 run again give the same rows, as sequence ids come from the partition and a counter.
 """
 
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import loaded
-from .common import bounded
+from .common import bounded, spread
 
 WINDOW = 2048
 POOL_PIECES = 512
@@ -150,4 +151,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, window: in
         if packer.pool:
             yield told(packer.flush(), key_type)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, {SCHEMA}")
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, f"{id_col} {kind}, {SCHEMA}")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, stage, words
+from .common import bounded, spread, stage, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -88,7 +88,7 @@ def features(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(c, pa.int64()) for c in zip(*rows))], [*keep, *counts])
 
     asked = list(dict.fromkeys([*keep, text_col]))
-    return docs.select(*(f"`{c}`" for c in asked)).mapInArrow(run, ", ".join([fields, *(f"{c} bigint" for c in counts)]))
+    return spread(docs.select(*(f"`{c}`" for c in asked))).mapInArrow(run, ", ".join([fields, *(f"{c} bigint" for c in counts)]))
 
 
 def with_measures(counts: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import zlib
 import public_tokenizers as P
 import pytest
 import tiktoken
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -14,6 +15,7 @@ RANKS = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
 TIK = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 CODER = bpe.ByteBpe(P.path("byte_bpe_50k.tiktoken"), cache_entries=50)
 JSON = bpe.ByteBpe(P.path("byte_bpe_50k.json"))
+LIBRARY = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
 ODD = ["", " ", "a ", " a", "a b ", "a\nb c,d.\n\ne f", "a \nb", "a\t b", "x  y", "don't 12ab_c a1 b2", "a  b\n\n c\t", "it's I'll", "日本語 😀👩‍👩‍👧", "x²½ Ⅷ ٣", "\x1c\x85 \u2003\xa0a", "<|endoftext|> a", "é" * 500, "e\u0301 _a_b", "\x00\x7f", "a" * 100_000]
 
@@ -22,7 +24,7 @@ ODD = ["", " ", "a ", " a", "a b ", "a\nb c,d.\n\ne f", "a \nb", "a\t b", "x  y"
 def test_odd_texts(text):
     want = TIK.encode_ordinary(text)
     assert CODER.encode([text])[0].tolist() == want
-    assert JSON.encode([text])[0].tolist() == want
+    assert JSON.encode([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
     assert CODER.decode_bytes(want) == text.encode()
     assert "".join(CODER.decode_stream(want)) == text
 
@@ -79,13 +81,28 @@ def test_differencing_levels():
     assert max(sums) - min(sums) <= 1
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "a<|endoftext", "é <|endoftext|>\n\n", "<|ENDOFTEXT|>"])
+def test_added_tokens_as_the_library_codes_them(text):
+    want = LIBRARY.encode(text, add_special_tokens=False).ids
+    assert JSON.encode(["b", text, "c"])[1].tolist() == want
+    assert JSON.decode_bytes(want) == text.encode()
+
+
+def test_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 400)
+    coder = bpe.ByteBpe(P.path("byte_bpe_50k.json"))
+    for text in ("one two three four five six", "x" * 1000 + " seven", "eight nine ten " * 30, "one two eleven"):
+        assert coder.encode([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert sum(len(k) + len(v) for k, v in coder.cache.items()) == coder.cache_bytes <= 400
+
+
 def check_pieces(rows, docs):
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
         by_seq.setdefault(r.sequence_id, []).append(r)
     for d, text in docs.items():
-        ids = JSON.encode([text])[0].astype("<u4").tolist() + [1]
+        ids = LIBRARY.encode(text or "", add_special_tokens=False).ids + [1]
         at = 0
         for r in sorted(by_doc[d], key=lambda r: r.start):
             assert r.start == at and r.doc_tokens == len(ids)
@@ -111,9 +128,9 @@ def test_packing_on_table(spark, sf):
 
 
 def test_packing_of_odd_rows(spark):
-    docs = spark.createDataFrame([(1, "a", 1), (2, None, 1), (3, "", 1), (4, "word " * 9000, 1)], "doc_id long, text string, start long")
+    docs = spark.createDataFrame([(1, "a", 1), (2, None, 1), (3, "", 1), (4, "word " * 9000, 1), (5, "x <|endoftext|> y", 1)], "doc_id long, text string, start long")
     rows = packing.pack_documents(docs, P.path("byte_bpe_50k.json")).collect()
-    check_pieces(rows, {1: "a", 2: "", 3: "", 4: "word " * 9000})
+    check_pieces(rows, {1: "a", 2: "", 3: "", 4: "word " * 9000, 5: "x <|endoftext|> y"})
     twice = docs.where("doc_id < 2").union(docs.where("doc_id < 2")).selectExpr("cast(null as long) as doc_id", "text")
     assert len(packing.pack_documents(twice, P.path("byte_bpe_50k.json")).collect()) == 2
     assert packing.pack_documents(docs.where("false"), P.path("byte_bpe_50k.json")).collect() == []
