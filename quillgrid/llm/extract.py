@@ -7,8 +7,8 @@ training_pages), whose number is a parameter, and decoded by Viterbi in every ta
 so nothing is shuffled and no host can be hot.
 
 Defined results: a null, empty or unreadable html has the empty text; all blocks decoded as text are
-joined in page order; nothing is dropped for its length; repeated rows count each; an empty table gives
-no rows; extra columns are ignored.
+joined in page order; nothing is dropped for its length or depth; labels of equal score are the rest; repeated rows
+count each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded
+from .common import bounded, spread
 from .crf import ChainCRF
-from .htmlblocks import Block, blocks, name_parts
+from .htmlblocks import Block, Node, blocks, name_parts
 
 PAGES = 1000
 CACHE_PATHS = 20_000
@@ -31,17 +31,21 @@ CACHE_PATHS = 20_000
 _DATE = re.compile(r"\b(?:19|20)\d\d\b|\d{1,2}[./:-]\d{1,2}")
 
 
-def path_features(path: tuple[tuple[str, str], ...]) -> set[str]:
+def element_features(tag: str, names: str) -> set[str]:
+    """What an element adds to the features of all blocks inside of it."""
+    return {f"in:{tag}"} | {f"name:{p}" for p in (name_parts(names) if names else ())}
+
+
+def path_features(node: Node | None) -> set[str]:
     """Features of a block's ancestors; formatting elements count as parents only."""
-    out = {f"in:{tag}" for tag, _ in path}
-    if path:
-        out.add(f"parent:{path[-1][0]}")
-    innermost = set()
-    for _, names in path:
-        if names:
-            innermost = name_parts(names)
-            out |= {f"name:{p}" for p in innermost}
-    return out | {f"near:{p}" for p in innermost}
+    out: set[str] = set()
+    innermost = ""
+    for tag, names in node.path() if node else ():
+        out |= element_features(tag, names)
+        innermost = names or innermost
+    if node:
+        out.add(f"parent:{node.tag}")
+    return out | {f"near:{p}" for p in name_parts(innermost)}
 
 
 def text_features(b: Block, at: int, n: int) -> set[str]:
@@ -260,7 +264,7 @@ def training_pages(n: int = PAGES, seed: int = 11) -> tuple[list[list[Block]], l
 
 
 def page_features(page: list[Block]) -> list[set[str]]:
-    return [path_features(b.path) | text_features(b, i, len(page)) for i, b in enumerate(page)]
+    return [path_features(b.node) | text_features(b, i, len(page)) for i, b in enumerate(page)]
 
 
 @cache
@@ -272,27 +276,60 @@ def trained(n: int = PAGES, seed: int = 11) -> ChainCRF:
     return field
 
 
+class _State:
+    """What a chain of ancestors scores: shared by all pages, and continued by the elements inside of it."""
+
+    __slots__ = ("known", "sums", "near", "total", "inner")
+
+    def __init__(self, known: frozenset, sums: np.ndarray, near: np.ndarray, total: np.ndarray):
+        self.known, self.sums, self.near, self.total, self.inner = known, sums, near, total, {}
+
+
 class Extractor:
-    """Decodes pages with one field; scores of ancestor paths are kept up to a bound."""
+    """Decodes pages with one field.
+
+    A chain of ancestors is scored from the chain around it, with the features that are new; so the work for a
+    page is in proportion to its elements, however deep. States of chains are kept for other pages up to a bound.
+    """
 
     def __init__(self, field: ChainCRF):
         self.field = field
-        self.paths: dict[tuple, np.ndarray] = {}
+        none = np.zeros(field.labels)
+        self.root = _State(frozenset(), none, none, none)
+        self.kept = 0
         self.texts: dict[frozenset, np.ndarray] = {}
 
+    def _inside(self, around: _State, tag: str, names: str) -> _State:
+        new = {f for f in element_features(tag, names) if f in self.field.index} - around.known
+        known, sums = (around.known | new, around.sums + self.field.scores(new)) if new else (around.known, around.sums)
+        near = self.field.scores({f"near:{p}" for p in name_parts(names)}) if names else around.near
+        return _State(known, sums, near, sums + near + self.field.scores({f"parent:{tag}"}))
+
+    def state(self, node: Node | None) -> _State:
+        todo = []
+        while node is not None and node.state is None:
+            todo.append(node)
+            node = node.around
+        now = self.root if node is None else node.state
+        for node in reversed(todo):
+            key = (node.tag, node.names)
+            inner = now.inner.get(key)
+            if inner is None:
+                inner = self._inside(now, *key)
+                if self.kept < CACHE_PATHS:
+                    self.kept += 1
+                    now.inner[key] = inner
+            node.state = now = inner
+        return now
+
     def labels(self, page: list[Block]) -> list[int]:
         rows = []
         for i, b in enumerate(page):
-            of_path = self.paths.get(b.path)
-            if of_path is None:
-                of_path = self.field.scores(path_features(b.path))
-                if len(self.paths) < CACHE_PATHS:
-                    self.paths[b.path] = of_path
             features = frozenset(text_features(b, i, len(page)))
             of_text = self.texts.get(features)
             if of_text is None:
                 of_text = self.texts[features] = self.field.scores(features)
-            rows.append(of_path + of_text)
+            rows.append(self.state(b.node).total + of_text)
         return self.field.decode(np.array(rows))
 
     def text(self, page: str | None) -> str:
@@ -311,4 +348,4 @@ def main_text(pages: DataFrame, field: ChainCRF | None = None, html_col: str = "
             texts = [extractor.text(p) for p in part.column(html_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
-    return pages.select(*dict.fromkeys([*keep, html_col])).mapInArrow(run, f"{fields}, text string, n_chars bigint")
+    return spread(pages.select(*dict.fromkeys([*keep, html_col]))).mapInArrow(run, f"{fields}, text string, n_chars bigint")

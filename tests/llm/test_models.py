@@ -138,6 +138,30 @@ def test_extraction_of_odd_pages(spark):
     assert extract.main_text(pages.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("page", ["<div class=a>x" * 40_000, "<b>" * 40_000 + "<div>x</div>" * 40_000, "<ul>" + "<div>" * 40_000 + "<li>x</li>" * 40_000, "<p>x</q>" * 60_000, "<a <a " * 80_000, '<a "b>" ' * 80_000, "<!" * 100_000, "<svg>" * 30_000 + "<p>x" * 30_000, "<a>x" * 50_000, "<x '" * 80_000 + ">", "</" * 100_000, "<td>" * 40_000 + "</b>" * 40_000])
+def test_time_of_odd_pages_is_in_proportion(page):
+    import time
+
+    e = extract.Extractor(extract.trained())
+    began = time.perf_counter()
+    assert isinstance(e.text(page), str)
+    assert time.perf_counter() - began < 15
+
+
+def test_shared_paths_score_like_all_features():
+    e = extract.Extractor(extract.trained())
+    pages, _ = extract.training_pages(20, seed=5)
+    for page in pages:
+        for b in page:
+            assert np.allclose(e.state(b.node).total, e.field.scores(extract.path_features(b.node)))
+
+
+def test_deep_text_is_whole():
+    inner = "".join(f"<div>Sentence number {i} has a few words in it.</div>" for i in range(5))
+    page = "<main><h1>Title of it</h1><article>" + "<div>" * 3000 + inner + "</div>" * 3000 + "</article></main>"
+    assert extract.Extractor(extract.trained()).text(page).count("Sentence number") == 5
+
+
 def rule_of(host, path):
     best = None
     for h, p, v in urls.RULES:
