@@ -9,18 +9,22 @@ behind them hold every training word and grow with the corpus.
 
 Work. (1) Count all training words. (2) Encode each block of documents once: class ids in order, and
 for words outside the top their postings (word, positions of the documents in the block). (3)
-Baum-Welch: every task runs scaled forward-backward recursions over windows of its documents' class ids
-and adds up expected counts; these are summed by class across tasks, at most classes x states numbers.
+Baum-Welch: every task runs scaled forward-backward recursions over its whole documents' class ids
+and adds up expected counts; these are summed by class across tasks, at most classes x states numbers. A long document
+is cut into windows whose states are carried exactly: each window's transfer matrix, from the states before it to those at
+its end, gives the states at all its borders, and then all windows are run side by side.
 (4) Scaled forward recursion over whole documents gives the exact likelihood of the class sequence;
 postings joined with the counts add what the words of a document contribute. A block's words are joined
 once, not once a document, and the frequent words never enter the join, so no key is hot.
 
-Defined results: a null or empty text has the end token alone; a null doc_id counts as training;
+Defined results: a null or empty text has the end token alone; words and texts may have any length;
+of equally frequent words those that sort first have a class of their own; a null doc_id counts as training;
 repeated rows count each; an empty table gives no rows; without training rows all counts are 0.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import zlib
 from collections import defaultdict
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bounded, remainder, stage, words
+from .common import bounded, remainder, spread, stage, words
 
 TOP_WORDS = 4096
 ENDINGS = 4096
@@ -44,8 +48,10 @@ WINDOW = 128
 ADD = 0.1
 #: The end token; no word is empty.
 END = b""
-#: Longer words have no class of their own, which bounds what is sent to every task.
-LONGEST_TOP = 64
+#: Longer words go by a digest of their own in the table of classes, which bounds what is sent to every task.
+LONGEST = 64
+#: Blocks of one task of the last steps.
+BLOCKS_A_TASK = 3
 
 
 @dataclass
@@ -61,17 +67,21 @@ class Model:
     start: np.ndarray | None = None
     move: np.ndarray | None = None
     emit: np.ndarray | None = None  # class x state
-    resume: np.ndarray | None = None  # states at the start of a later window
 
     @property
     def own(self) -> int:
         return len(self.classes)
 
     def class_of(self, word: bytes) -> int:
-        got = self.classes.get(word)
+        got = self.classes.get(class_key(word))
         return self.own + zlib.crc32(word[-3:]) % ENDINGS if got is None else got
 
 
+def class_key(word: bytes) -> bytes:
+    """The word, or a digest for a long one; no word holds the space that a digest starts with."""
+    return word if len(word) <= LONGEST else b" " + hashlib.blake2b(word, digest_size=16).digest()
+
+
 def numbered(texts) -> tuple[list[bytes], list[np.ndarray]]:
     """The distinct tokens of some texts, and each text as their numbers, with the end token."""
     number: defaultdict = defaultdict(count().__next__)
@@ -90,14 +100,19 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, modulus: int, held:
                 distinct, own = numbered(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.binary()), pa.array(np.bincount(np.concatenate(own), minlength=len(distinct)))], ["word", "n"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def untrained(counts: DataFrame, top_words: int) -> Model:
     """The classes and their totals; collects at most the top words and one row a class."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    short = counts.where((F.length("word") <= LONGEST_TOP) & (F.length("word") > 0))
-    top = [(bytes(r.word), r.n) for r in short.orderBy(F.desc("n"), "word").limit(top_words).collect()]
+    most = counts.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(top_words)
+
+    def keys(batches):
+        for part in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([class_key(w) for w in part.column("word").to_pylist()], pa.binary()), part.column("n")], ["word", "n"])
+
+    top = sorted(((bytes(r.word), r.n) for r in most.mapInArrow(keys, "word binary, n bigint").collect()), key=lambda x: (-x[1], x[0]))
     end = counts.where(F.length("word") == 0).first()
     own = [(END, end.n if end else 0), *top]
     classes = {w: i for i, (w, _) in enumerate(own)}
@@ -153,55 +168,112 @@ def encoded_blocks(docs: DataFrame, model: Model, id_col: str, text_col: str, mo
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(np.full(n, block)), kept.slice(lo, n), spans.slice(lo, n), *(pa.nulls(n, pa.list_(x.type)) for x in none), pa.nulls(n, pa.binary())], names)
             block += 1
 
-    return docs.select(id_col, text_col).mapInArrow(run, fields)
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, fields)
+
+
+def borders(parts: list[np.ndarray], starts: list[int], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window the states before it (given all up to there) and what follows its end, up to scale.
+
+    parts are the windows of some texts one text after the other; starts are the places of first windows. A row
+    before a first window is model.start, and one after a last window is all ones.
+    """
+    states, n = len(model.start), len(parts)
+    before, after = np.tile(model.start, (n, 1)), np.ones((n, states))
+    first = np.zeros(n, dtype=bool)
+    first[starts] = True
+    several = np.flatnonzero(~first | ~np.append(first[1:], True))  # of texts with more than one window
+    if not len(several):
+        return before, after
+    lengths = np.array([len(parts[i]) for i in several])
+    order = np.argsort(-lengths, kind="stable")
+    a = model.move.astype(np.float32)
+    e = np.ascontiguousarray(model.emit, dtype=np.float32)
+    moved = np.empty((n, states, states))  # transfer matrices
+    for lo in range(0, len(order), 1024):
+        own, size = several[order[lo : lo + 1024]], lengths[order[lo : lo + 1024]]
+        ids = np.zeros((int(size[0]), len(own)), dtype=np.int64)
+        for k, i in enumerate(own):
+            ids[: size[k], k] = parts[i]
+        x = np.tile(np.eye(states, dtype=np.float32), (len(own), 1, 1))
+        live = np.searchsorted(-size, -np.arange(len(ids)), side="left")
+        for t in range(len(ids)):
+            m = live[t]
+            y = x[:m]
+            if t:
+                y = y @ a
+            else:
+                later = ~first[own][:m, None, None]  # a first window's states are those at its first token
+                y = np.where(later, y @ a, y)
+            y = y * e[ids[t, :m], None, :]
+            x[:m] = y / y.sum(axis=(1, 2), keepdims=True)
+        moved[own] = x
+    place = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))  # of a window in its text
+    for k in range(1, int(place.max()) + 1):
+        at = np.flatnonzero(place == k)
+        x = np.einsum("ni,nij->nj", before[at - 1], moved[at - 1])
+        before[at] = x / x.sum(axis=1, keepdims=True)
+    for k in range(int(place.max()), 0, -1):
+        at = np.flatnonzero(place == k)
+        x = np.einsum("nij,nj->ni", moved[at], after[at])
+        after[at - 1] = x / x.sum(axis=1, keepdims=True)
+    return before, after
 
 
 def expected_counts(seqs: list[np.ndarray], model: Model, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Scaled forward-backward over windows of class ids: expected (start, resume, move, emit) and the log likelihood."""
+    """Scaled forward-backward over whole texts of class ids: expected (start, move, emit) and the log likelihood."""
     states, size = len(model.start), len(model.prior)
-    start, resume, move, emit = np.zeros(states), np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
+    start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
     total = 0.0
     a, e = model.move.astype(np.float32), np.ascontiguousarray(model.emit, dtype=np.float32)
-    parts = [(s[i : i + window], i == 0) for s in seqs for i in range(0, len(s), window)]
-    parts.sort(key=lambda p: -len(p[0]))
-    for lo in range(0, len(parts), 1024):
-        own = parts[lo : lo + 1024]
-        lengths = np.array([len(p) for p, _ in own])
-        first = np.array([f for _, f in own])
+    parts = [s[i : i + window] for s in seqs for i in range(0, len(s), window)]
+    counts = [-(-len(s) // window) for s in seqs]
+    starts = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64) if seqs else np.zeros(0, np.int64)
+    before, after = borders(parts, starts, model)
+    is_first = np.zeros(len(parts), dtype=bool)
+    is_first[starts] = True
+    order = np.argsort([-len(p) for p in parts], kind="stable")
+    for lo in range(0, len(order), 1024):
+        at = order[lo : lo + 1024]
+        own = [parts[i] for i in at]
+        lengths = np.array([len(p) for p in own])
+        first, came = is_first[at], before[at].astype(np.float32)
         longest = int(lengths[0])
         ids = np.zeros((longest, len(own)), dtype=np.int64)
-        for k, (p, _) in enumerate(own):
+        for k, p in enumerate(own):
             ids[: len(p), k] = p
         live = np.searchsorted(-lengths, -np.arange(longest), side="left")  # windows longer than t
         out = e[ids]  # emission probabilities: time x window x state
         alpha, scale = np.zeros_like(out), np.ones((longest, len(own)), dtype=np.float32)
         for t in range(longest):
             n = live[t]
-            x = (alpha[t - 1, :n] @ a if t else np.where(first[:, None], model.start, model.resume).astype(np.float32)[:n]) * out[t, :n]
+            x = (alpha[t - 1, :n] @ a if t else np.where(first[:, None], came, came @ a)) * out[t, :n]
             c = x.sum(axis=1)
             alpha[t, :n], scale[t, :n] = x / c[:, None], c
         total += float(np.log(scale, dtype=np.float64).sum())
-        beta = np.ones((len(own), states), dtype=np.float32)
+        beta = after[at].astype(np.float32)
+        beta /= (alpha[lengths - 1, np.arange(len(own))] * beta).sum(axis=1, keepdims=True)
         gamma = alpha
+        gamma_last = alpha[lengths - 1, np.arange(len(own))] * beta
         for t in range(longest - 2, -1, -1):
             n = live[t + 1]
             ahead = out[t + 1, :n] * beta[:n] / scale[t + 1, :n, None]
             move += alpha[t, :n].T @ ahead
             beta[:n] = ahead @ a.T
             gamma[t, :n] = alpha[t, :n] * beta[:n]
+        gamma[lengths - 1, np.arange(len(own))] = gamma_last
+        move += came[~first].T @ (out[0] * beta / scale[0][:, None])[~first]
         start += gamma[0][first].sum(axis=0)
-        resume += gamma[0][~first].sum(axis=0)
         within = np.arange(longest)[:, None] < lengths[None, :]
         flat = ids[within]
         for k in range(states):
             emit[:, k] += np.bincount(flat, weights=gamma[:, :, k][within], minlength=size)
-    return start, resume, move * model.move, emit, total
+    return start, move * model.move, emit, total
 
 
 def initial(model: Model, states: int, seed: int = 7) -> None:
     """Sticky states whose emissions vary around the class frequencies."""
     rng = np.random.default_rng(seed)
-    model.start = model.resume = np.full(states, 1 / states)
+    model.start = np.full(states, 1 / states)
     model.move = np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * (0.9 - 0.1 / max(1, states - 1))
     model.move /= model.move.sum(axis=1, keepdims=True)
     emit = model.prior[:, None] * np.exp(rng.normal(0, 0.7, (len(model.prior), states)))
@@ -225,22 +297,22 @@ def baum_welch(blocks: DataFrame, model: Model, states: int, iterations: int) ->
                     got = expected_counts([s for s, h in zip(ids, held) if not h], m)
                     sums = got if sums is None else tuple(x + y for x, y in zip(sums, got))
             if sums is not None:
-                start, resume, move, emit, total = sums
-                rows = [*emit.tolist(), *move.tolist(), start.tolist(), resume.tolist(), [total, *[0.0] * (len(start) - 1)]]
+                start, move, emit, total = sums
+                rows = [*emit.tolist(), *move.tolist(), start.tolist(), [total, *[0.0] * (len(start) - 1)]]
                 cols = np.array(rows).T
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), *(pa.array(c) for c in cols)], ["row", *(f"s{k}" for k in range(len(start)))])
 
         sums = blocks.where("kind = 0").select("held", "lengths", "classes").mapInArrow(run, ", ".join(["row int", *(f"s{k} double" for k in range(states))]))
-        table = np.zeros((len(model.prior) + states + 3, states))
+        table = np.zeros((len(model.prior) + states + 2, states))
         for r in sums.groupBy("row").agg(*(F.sum(f"s{k}") for k in range(states))).collect():
             table[r[0]] = r[1:]
         size = len(model.prior)
         emit = table[:size] + 50.0 * model.prior[:, None]
         move = table[size : size + states] + 0.1
-        start, resume = table[size + states] + 0.1, table[size + states + 1] + 0.1
+        start = table[size + states] + 0.1
         told.append(float(table[-1, 0]))
         model.emit, model.move = emit / emit.sum(axis=0), move / move.sum(axis=1, keepdims=True)
-        model.start, model.resume = start / start.sum(), resume / resume.sum()
+        model.start = start / start.sum()
         sent.unpersist()
     return told
 
@@ -292,7 +364,7 @@ def block_scores(blocks: DataFrame, model: Model) -> DataFrame:
     return blocks.where("kind = 0").select("block", "ids", "held", "lengths", "classes").mapInArrow(run, "block bigint, head binary")
 
 
-def combined(parts: DataFrame, id_col: str, kind, total: int) -> DataFrame:
+def combined(parts: DataFrame, id_col: str, kind, total: int, tasks: int) -> DataFrame:
     """Add the words' contributions up by block and give a row for each document."""
     arrow = to_arrow_type(kind)
 
@@ -327,7 +399,7 @@ def combined(parts: DataFrame, id_col: str, kind, total: int) -> DataFrame:
             cols = [pa.array(keys, arrow), pa.array(held), pa.array(lengths, pa.int64()), pa.array((known + hit).astype(np.int64)), pa.array(np.full(len(lengths), total, np.int64)), pa.array(base + log), pa.array(score + log)]
             yield pa.RecordBatch.from_arrays(cols, [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return parts.repartition("block").mapInArrow(run, f"{id_col} {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return parts.repartition(tasks, "block").mapInArrow(run, f"{id_col} {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def score_documents(docs: DataFrame, modulus: int = 10, held: int = 0, top_words: int = TOP_WORDS, states: int = STATES, iterations: int = ITERATIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,6 +409,7 @@ def score_documents(docs: DataFrame, modulus: int = 10, held: int = 0, top_words
     model = untrained(counts, top_words)
     blocks = stage(encoded_blocks(docs, model, id_col, text_col, modulus, held), "lm-blocks")
     baum_welch(blocks, model, states, iterations)
-    rare = blocks.where("kind = 1").select("block", "word", "at").join(counts, "word", "left").select("block", "at", "n")
+    tasks = max(1, -(-blocks.where("kind = 0").count() // BLOCKS_A_TASK))
+    rare = blocks.where("kind = 1").select("block", "word", "at").repartition(tasks, "word").join(counts.repartition(tasks, "word"), "word", "left").select("block", "at", "n")
     parts = rare.unionByName(block_scores(blocks, model), allowMissingColumns=True)
-    return combined(parts, id_col, kind, model.total)
+    return combined(parts, id_col, kind, model.total, tasks)

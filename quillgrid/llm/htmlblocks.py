@@ -18,8 +18,7 @@ BLOCK = frozenset(
 #: What the start of an element ends, if it is open above the nearest of the second group.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
 
-#: A comment, a section or instruction, or a tag with its name and attributes; an attribute's value may hold ">" in quotes.
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+#: A section or instruction, or a tag with its name and attributes; an attribute's value may hold ">" in quotes.
 _TAG = re.compile(r"""<(?:!\[CDATA\[|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?>[^"'>]|"[^"]*"|'[^']*'|["'])*+)>)""", re.S)
 _PLAIN = re.compile(r"<(?:!\[CDATA\[|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)", re.S)
 _OPENS = re.compile(r"<[/a-zA-Z!?]")
@@ -126,9 +125,10 @@ def blocks(page: str | None) -> list[Block]:
         say(page[at:start])
         if not opens:
             break
-        comment = _COMMENT.match(page, start)
-        if comment:
-            at = comment.end()
+        if page.startswith("<!--", start):
+            at = page.find("-->", start + 4) + 3
+            if at < 3:
+                break
             continue
         if start > last:
             say(page[start:])
