@@ -9,16 +9,19 @@ The model is fitted on labelled rows of every language of the table: about TRAIN
 has, chosen by a hash of the id over all of the table. So hot sources or languages do not change its size,
 and rare ones are learned from what they have. Each language brings its own most frequent words and n-grams:
 WORDS and GRAMS divided by the number of languages, but LEAST of each at least. The tables hold only counts
-that are not 0, so they grow in proportion to the number of languages. Every row of the table is predicted
+that are not 0, so they grow in proportion to the number of languages; a word or n-gram seen once counts like any other,
+and a word of more than LONGEST_WORD characters goes by a digest there. Every row of the table is predicted
 from its whole text.
 
 Defined results: `und` with score 0 if the text is null, empty or has no letter, or if there is no
 labelled row to learn from; ties go to the language that sorts first. A null lang is not learned from;
-a null doc_id is no training row; repeated rows count each; an empty table gives no rows.
+a null doc_id is no training row; a very long text is scored whole; repeated rows count each; an empty table gives
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
@@ -30,17 +33,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, stage
+from .common import bounded, spread, stage
 
 #: Of each language.
 TRAIN_ROWS = 5_000
-#: Known words and n-grams of all languages, and of each at least; words seen once only are left to the n-grams.
+#: Known words and n-grams of all languages, and of each at least.
 WORDS = 50_000
 GRAMS = 30_000
 LEAST = 2_000
 #: Pieces that a language has equally often are taken in the order of so many hashes.
 TIES = 64
 LONGEST = 4
+#: Characters of a word that the table of words holds itself.
+LONGEST_WORD = 64
 CACHE_WORDS = 300_000
 #: Scores kept in the cache and bytes of text in a batch times languages; unseen words scored at once.
 CACHE_CELLS = 4_000_000
@@ -55,6 +60,11 @@ def letter_words(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
+def word_key(word: str) -> str:
+    """The word, or a digest for a long one; no word holds the space that a digest starts with."""
+    return word if len(word) <= LONGEST_WORD else " " + hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def grams(word: str, longest: int = LONGEST) -> list[str]:
     """All n-grams of the word with its borders."""
     w = f" {word} "
@@ -143,7 +153,7 @@ class LanguageModel:
         return 2 * sums / np.maximum(sizes, 1)[:, None]
 
     def of_words(self, words: list[str]) -> np.ndarray:
-        at = np.fromiter((self.words.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        at = np.fromiter((self.words.get(word_key(w), -1) for w in words), dtype=np.int64, count=len(words))
         known, unseen = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
         out = self.word_logs.sums(at[known], known, len(words))
         for k in range(0, len(unseen), AT_ONCE):
@@ -200,7 +210,7 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, rows: int = TRAIN_ROWS
     if not languages:
         return LanguageModel.of([], {}, {})
     numbers = {lang: k for k, lang in enumerate(languages)}
-    some = labelled.select(id_col, text_col, lang_col)
+    some = spread(labelled.select(id_col, text_col, lang_col))
     if max(totals.values()) > rows:
         share = F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1 << 30))
         shares = docs.sparkSession.createDataFrame([(lang, int((1 << 30) * min(1.0, rows / n))) for lang, n in totals.items()], f"`{lang_col}` string, below_ bigint")
@@ -218,16 +228,16 @@ def fit(docs: DataFrame, modulus: int = 4, held: int = 2, rows: int = TRAIN_ROWS
                 for w, c in counts.items():
                     for g in grams(w):
                         pieces[g] += c
-                rows += [(lang, True, w, c) for w, c in counts.items()]
+                rows += [(lang, True, word_key(w), c) for w, c in counts.items()]
                 rows += [(lang, False, g, c) for g, c in pieces.items()]
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1]), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], ["language", "whole", "piece", "n"])
 
     counts = some.select(text_col, lang_col).mapInArrow(run, "language int, whole boolean, piece string, n bigint")
-    counts = counts.where("length(piece) <= 64").groupBy("whole", "piece", "language").agg(F.sum("n").alias("n"))
-    own = counts.groupBy("whole", "piece").agg(F.sum("n").alias("n"), F.collect_list(F.struct("language", "n")).alias("own")).where("n > 1")
-    own = stage(own.withColumn("tie", F.pmod(F.xxhash64("piece"), F.lit(TIES))).drop("n"), "language-pieces")
+    counts = counts.groupBy("whole", "piece", "language").agg(F.sum("n").alias("n"))
+    own = counts.groupBy("whole", "piece").agg(F.collect_list(F.struct("language", "n")).alias("own"))
+    own = stage(own.withColumn("tie", F.pmod(F.xxhash64("piece"), F.lit(TIES))), "language-pieces")
     ranks = own.select("whole", "tie", F.explode("own").alias("x")).groupBy("whole", "x.language", (F.col("x.n") * TIES + F.col("tie")).alias("rank")).agg(F.count("*").alias("n"))
     least = docs.sparkSession.createDataFrame([least_ranks(ranks.toArrow(), len(languages))], "of_words array<bigint>, of_grams array<bigint>")
     least_of = F.when(F.col("whole"), F.col("of_words")).otherwise(F.col("of_grams"))
@@ -275,7 +285,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in back)
-    return docs.select(*(f"`{f.name}`" for f in own)).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return spread(docs.select(*(f"`{f.name}`" for f in own))).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
 def filtered(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

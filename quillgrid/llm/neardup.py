@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, mix, stage
+from .common import bounded, mix, spread, stage, unstage
 from .components import components
 
 SHINGLE = 5
@@ -121,7 +121,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sig.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary())], [id_col, "n_shingles", "h1", "h2", "sig"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_shingles bigint, h1 bigint, h2 bigint, sig binary")
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, f"{id_col} {kind}, n_shingles bigint, h1 bigint, h2 bigint, sig binary")
 
 
 def index_keys(reps: DataFrame) -> DataFrame:

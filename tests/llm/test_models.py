@@ -109,6 +109,16 @@ def test_language_backs_off(spark):
     assert {r.lang_pred for r in langid.predicted(docs.withColumn("lang", docs.lang.substr(9, 1)).where("false")).collect()} == set()
 
 
+def test_language_of_long_words_long_texts_and_clashing_columns(spark):
+    long = {"x": "q" * 3000, "y": "q" * 2999 + "r"}
+    rows = [(i, f"{long[lang]} {'aa' if lang == 'x' else 'bb'}", lang, 1.0, "z", 3) for i, lang in enumerate("xy" * 30)]
+    rows += [(900, long["x"], None, 1.0, None, 3), (901, long["y"], None, 1.0, None, 3), (902, "bb aa bb " * 500_000, None, 1.0, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string, whole long")
+    got = {r.doc_id: r for r in langid.predicted(docs).collect()}
+    assert (got[900].lang_pred, got[901].lang_pred, got[902].lang_pred) == ("x", "y", "y") and len(got) == 63
+    assert max(map(len, langid.fit(docs).words)) <= langid.LONGEST_WORD
+
+
 def test_chain_field_decodes_the_best_path():
     import itertools
 
