@@ -1,20 +1,21 @@
 """Operator 10: near-duplicate classes by MinHash signatures and a multi-index Hamming join.
 
 A document's set holds its distinct shingles of five words (A-Z lower-cased). Documents with equal sets
-are one class and count once from there on. A class has a signature of SLOTS min-hashes of 8 bits; two
+are one class and count once from there on. A class has a signature of SLOTS min-hashes of BITS bits; two
 sets of similarity J agree in about J of the slots.
 
 Index. The slots form CHUNKS chunks of CHUNK slots. If two signatures differ in fewer than 2 * CHUNKS
 slots, some chunk differs in at most one (pigeonhole), so each class is entered under every chunk with
-each one slot left out. All pairs at a distance of up to 2 * CHUNKS - 1 = 27 therefore meet under a key,
-and pairs beyond it nearly always do: at J = 0.75 the chance that no key meets is 2e-5. Pairs that meet
-are held against the signature distance (REACH) and then against the full sets, which decides.
+each one slot left out. So all pairs up to the signature-distance threshold REACH = 2 * CHUNKS - 1 = 39 meet under a key;
+at J = 0.75 the distance is 25 in the mean with a deviation of 4.3, and 0.0007 of such pairs lie beyond. These are not
+given up: what meets under a key up to a distance of FAR is held against the full sets, which decides. At J = 0.75 a
+pair lies beyond FAR with a chance of 2e-8, and meets under no key at all with a chance of 2e-9.
 
 Work on groups. Equal sets meet in one class, so exact copies cost nothing further. Within the classes
 of a key, first only each one's pair with the key's least class is tried. The components of the links
 found leave as open only pairs of different components. These are all tried, in tiles of bounded size:
 first by signature, each pair under the first key it shares, then by full sets, which only the classes
-that still have a candidate bring along. A tile gives back links, not pairs. A key may hold any number
+that still have a candidate bring along; a tile is bounded in rows and in members of its sets. A tile gives back links, not pairs. A key may hold any number
 of classes; none is dropped. What is read twice is written to the shared folder first.
 
 Defined results: without words the set is empty and the row is linked with nothing (component_id is
@@ -29,18 +30,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import bounded, mix, spread, stage, unstage
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = 75  # of 100
-CHUNKS, CHUNK = 14, 6
+CHUNKS, CHUNK = 20, 5
 SLOTS = CHUNKS * CHUNK
-#: Slots in which signatures of two linked sets may differ: at J = 0.75 the mean is 21, the deviation 4.
-REACH = 39
+#: Signatures that differ in so many slots meet for certain.
+REACH = 2 * CHUNKS - 1
+#: Pairs beyond this distance are not held against the full sets.
+FAR = 50
+BITS = 12
 TILE = 1024
+#: Members of the sets of one block of a tile.
+MEMBERS = 2_000_000
+#: Bits of the filter through which texts pass before their sets are taken, and nodes up to which it is used.
 FILTER_BITS = 1 << 22
+FILTER_NODES = FILTER_BITS // 4
 
 _rng = np.random.default_rng(20_240)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,12 +102,12 @@ def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> list[np.ndarray]:
 
 
 def signature(members: np.ndarray) -> bytes:
-    """The 8-bit min-hashes of a set that is not empty."""
+    """The min-hashes of a set that is not empty, two bytes each."""
     x = (members ^ (members >> np.uint64(32))).astype(np.uint32)
     least = np.full(SLOTS, 0xFFFFFFFF, dtype=np.uint32)
     for lo in range(0, len(x), 4096):
         np.minimum(least, (x[lo : lo + 4096, None] * _MULT + _PLUS).min(axis=0), out=least)
-    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype("<u2").tobytes()
 
 
 def digests(members: np.ndarray) -> tuple[int, int]:
@@ -129,13 +138,13 @@ def index_keys(reps: DataFrame) -> DataFrame:
 
     def run(batches):
         keep = np.array([[j for j in range(CHUNK) if j != out] for out in range(CHUNK)])
-        shift = (np.arange(CHUNK - 1, dtype=np.uint64) * np.uint64(8))
-        which = (np.arange(SLOTS, dtype=np.uint64) << np.uint64(8 * (CHUNK - 1))).reshape(CHUNKS, CHUNK)
+        shift = (np.arange(CHUNK - 1, dtype=np.uint64) * np.uint64(BITS))
+        which = (np.arange(SLOTS, dtype=np.uint64) << np.uint64(BITS * (CHUNK - 1))).reshape(CHUNKS, CHUNK)
         for part in batches:
             node = part.column("node").to_numpy()
             for lo in range(0, len(node), 500):
                 own = part.column("sig").slice(lo, 500)
-                sig = np.frombuffer(b"".join(own.to_pylist()), dtype=np.uint8).reshape(-1, CHUNKS, CHUNK).astype(np.uint64)
+                sig = np.frombuffer(b"".join(own.to_pylist()), dtype="<u2").reshape(-1, CHUNKS, CHUNK).astype(np.uint64)
                 keys = (sig[:, :, keep] << shift).sum(axis=3, dtype=np.uint64) + which
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(np.repeat(node[lo : lo + 500], SLOTS))], ["key", "node"])
 
@@ -175,9 +184,9 @@ def meetings(keys: DataFrame) -> DataFrame:
 
 
 def _near(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Which signatures are within REACH of each other."""
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(-1, SLOTS) for c in (a, b))
-    return (x != y).sum(axis=1) <= REACH
+    """Which signatures are near enough to be held against the full sets."""
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype="<u2").reshape(-1, SLOTS) for c in (a, b))
+    return (x != y).sum(axis=1) <= FAR
 
 
 def within_reach(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -197,12 +206,13 @@ def within_reach(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def open_rows(met: DataFrame, of_component: DataFrame, reps: DataFrame) -> DataFrame:
     """(key, one, two, block, node, component, sig): nodes by tile, of the keys where components meet.
 
-    A key with many nodes is dealt into blocks of about TILE nodes; a tile is a pair of blocks.
+    A key with many nodes is dealt into blocks of about TILE nodes, or MEMBERS members of their sets; a tile is a pair of blocks.
     """
     rows = met.select("key", "node").join(of_component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = stage(rows, "met")
-    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi")
-    blocks = F.ceil(F.col("n") / TILE).cast("bigint")
+    rows = stage(rows.join(reps.select("node", "n_shingles"), "node"), "met")
+    sums = [F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("members")]
+    mixed = rows.groupBy("key").agg(*sums).where("lo != hi")
+    blocks = F.ceil(F.greatest(F.col("n") / TILE, F.col("members") / MEMBERS)).cast("bigint")
     rows = rows.join(mixed.select("key", blocks.alias("blocks")), "key").join(reps.select("node", "sig"), "node")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "component", "sig")
@@ -238,7 +248,7 @@ def candidates(tile: dict, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of a tile: of different components, within reach, and with this key as the first that they share."""
     n, comp, node, block = len(sig), tile["component"], tile["node"], tile["block"]
     within = tile["one"][0] == tile["two"][0]
-    own = int(tile["key"][0]) >> (8 * (CHUNK - 1))
+    own = int(tile["key"][0]) >> (BITS * (CHUNK - 1))
     left, right = [], []
     for lo in range(0, n, 256):
         rows = slice(lo, min(n, lo + 256))
@@ -253,7 +263,7 @@ def candidates(tile: dict, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             near = count <= 1
             first = near.argmax(axis=1)
             slot = off[np.arange(len(x)), first].argmax(axis=1)  # the one slot that differs, or 0
-            keep = near.any(axis=1) & (first * CHUNK + slot == own) & (count.sum(axis=1) <= REACH)
+            keep = near.any(axis=1) & (first * CHUNK + slot == own) & (count.sum(axis=1) <= FAR)
             left.append(x[keep])
             right.append(y[keep])
     none = np.zeros(0, dtype=np.int64)
@@ -261,7 +271,7 @@ def candidates(tile: dict, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sigs(column: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, SLOTS)
+    return np.frombuffer(b"".join(column), dtype="<u2").reshape(-1, SLOTS)
 
 
 def asked_rows(rows: DataFrame) -> DataFrame:
@@ -365,19 +375,29 @@ def node_filter(nodes: DataFrame) -> np.ndarray:
 
 
 def full_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, members) of the rows of docs whose id is among nodes (and, by chance, of few others)."""
-    bits = docs.sparkSession.sparkContext.broadcast(node_filter(nodes))
+    """(node, members) of the rows of docs whose id is among nodes (and, by chance, of few others).
+
+    Up to FILTER_NODES nodes a bit map of fixed size keeps the other texts from being shuffled; more nodes are joined with the texts.
+    """
+    nodes = nodes.distinct()
+    some = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("node"), text_col)
+    bits = None
+    if nodes.count() <= FILTER_NODES:
+        bits = docs.sparkSession.sparkContext.broadcast(node_filter(nodes))
+        some = some.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)))
+    else:
+        some = some.join(nodes, "node", "left_semi")
 
     def sets(batches):
-        for batch in batches:
-            slot = batch.column("slot").to_numpy()
-            asked = batch.filter(pa.array((bits.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1))
+        for asked in batches:
+            if bits is not None:
+                slot = asked.column("slot").to_numpy()
+                asked = asked.filter(pa.array((bits.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1))
             for part in bounded([asked], 2000, 2_000_000, text_col) if asked.num_rows else ():
                 own = [s.tobytes() for s in shingle_sets(part.column(text_col).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(own, pa.binary())], ["node", "members"])
 
-    some = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("node"), text_col)
-    return stage(some.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))).mapInArrow(sets, "node bigint, members binary"), "sets")
+    return stage(some.mapInArrow(sets, "node bigint, members binary"), "sets")
 
 
 def verified(pairs: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
@@ -402,21 +422,27 @@ def verified(pairs: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
 
 def classified(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, h1, h2, component_id, kept) of every row; ids must be integers."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must hold integers")
     kind = docs.schema[id_col].dataType.simpleString()
     sigs = stage(signatures(docs, id_col, text_col), "signatures")
     classes = sigs.where(f"n_shingles > 0 and {id_col} is not null").groupBy("h1", "h2", "n_shingles").agg(F.min(F.col(id_col).cast("bigint")).alias("node"), F.min("sig").alias("sig"))
     classes = stage(classes, "classes")
-    reps = classes.select("node", "sig")
+    reps = classes.select("node", "n_shingles", "sig")
     met = stage(meetings(index_keys(reps)), "meetings")
     stars = met.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     first = within_reach(stars, reps).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     first = stage(first, "pairs")
     full = full_sets(first.select(F.col("a").alias("node")).union(first.select("b")), docs, id_col, text_col)
-    links = stage(verified(first, full, similarity), "links")
-    of_component = stage(components(links.toDF("u", "v")), "components")
+    starry = stage(verified(first, full, similarity), "links")
+    of_component = stage(components(starry.toDF("u", "v")), "components")
     asked = stage(asked_rows(open_rows(met, of_component, reps)), "asked")
-    more = open_links(asked, full_sets(asked.select("node"), docs, id_col, text_col), similarity)
-    links = stage(links.union(more), "links")
+    for done in (full, first, met):
+        unstage(done)
+    full = full_sets(asked.select("node"), docs, id_col, text_col)
+    links = stage(starry.union(open_links(asked, full, similarity)), "links")
+    for done in (full, asked, starry, of_component):
+        unstage(done)
     of_component = components(links.toDF("u", "v"))
     of_class = classes.join(of_component, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     out = sigs.join(of_class, ["h1", "h2", "n_shingles"], "left")

@@ -113,15 +113,34 @@ def test_one_of_each_group_stays(spark):
 
 def test_every_pair_within_the_guaranteed_distance_meets():
     rng = np.random.default_rng(2)
-    most = 2 * neardup.CHUNKS - 1
+    most = neardup.REACH
     for _ in range(200):
-        a = rng.integers(0, 256, neardup.SLOTS)
+        a = rng.integers(0, 1 << neardup.BITS, neardup.SLOTS)
         b = a.copy()
         off = rng.choice(neardup.SLOTS, most, replace=False)
-        b[off] = (b[off] + rng.integers(1, 256, most)) % 256
+        b[off] = (b[off] + rng.integers(1, 1 << neardup.BITS, most)) % (1 << neardup.BITS)
         assert ((a != b).reshape(neardup.CHUNKS, neardup.CHUNK).sum(axis=1) <= 1).any()
 
 
+def test_links_at_just_the_similarity(spark):
+    """Pairs whose sets agree in exactly 75 of 100 parts are all found, and those just below are none."""
+    texts = [" ".join(f"p{k}x{i}" for i in range(n)) for k in range(600) for n in (79, 104)]  # 75 of 100 shingles
+    texts += [" ".join(f"q{k}x{i}" for i in range(n)) for k in range(300) for n in (78, 104)]  # 74 of 100
+    rng = np.random.default_rng(12)
+    docs = spark.createDataFrame([(i, texts[i]) for i in rng.permutation(len(texts)).tolist()], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    assert all(got[2 * k + 1] == 2 * k for k in range(600)) and all(got[i] == i for i in range(1200, 1800))
+
+
+def test_near_duplicates_without_the_filter(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    monkeypatch.setattr(neardup, "FILTER_NODES", 0)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == want
+    with pytest.raises(TypeError):
+        neardup.near_duplicates(docs.withColumn("doc_id", docs.doc_id.cast("string")))
+
+
 @pytest.mark.parametrize("edges,want", [([], {}), ([(5, 3), (3, 9), (9, 9)], {5: 3, 3: 3, 9: 3}), ([(i, i + 1) for i in range(40)], {i: 0 for i in range(41)}), ([(100, i) for i in range(20)] + [(7, 200)], {**{i: 0 for i in range(20)}, 100: 0, 200: 0})])
 def test_components(spark, edges, want):
     got = components(spark.createDataFrame(edges, "u long, v long")).collect()
