@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt to all cores, if it is read in fewer pieces than twice as many as there are.
+    """df dealt to all cores, if it is read in fewer pieces than there are cores.
 
     Only tables of fewer bytes than one split a core are read so, as a file's row groups are not split; a larger one
     passes as it is, without a shuffle. So does what comes from a shuffle or broadcast, which has its own partitions.
@@ -46,7 +46,7 @@ def spread(df: DataFrame) -> DataFrame:
     if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
