@@ -127,7 +127,7 @@ class Relations:
         """The rows of one SELECT over the registered relations, lazily."""
         with told(), sqlguard.dialect(self.spark):
             text = sqlguard.named_parameters(sql).strip().rstrip(";")
-            sqlguard.admit(self.spark, text, set(self._views))
+            sqlguard.admit(self.spark, text, set(self._views), {c for rows in self._frames.values() for c in rows.columns})
             named = ", ".join(f'"{self._names[k]}" AS (SELECT * FROM {v})' for k, v in self._views.items())
             whole = f"WITH {named} SELECT * FROM ({text}\n) AS answer" if named else f"SELECT * FROM ({text}\n) AS answer"
             args = list(parameters) if isinstance(parameters, (list, tuple)) else parameters

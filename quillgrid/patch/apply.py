@@ -20,7 +20,8 @@ from . import archive, spans
 MOST = 10_000
 CONTENT = ("SET_VALUE", "SET_FORMULA", "COPY_FORMULA")
 STYLE = ("SET_STYLE", "COPY_STYLE")
-FIELDS = {"SET_VALUE": {"value"}, "SET_FORMULA": {"formula"}, "COPY_FORMULA": {"source"}, "SET_STYLE": {"style"}, "COPY_STYLE": {"source"}}
+#: The fields of patch files. Copies may name another sheet by source_sheet.
+FIELDS = {"SET_VALUE": {"value"}, "SET_FORMULA": {"formula"}, "COPY_FORMULA": {"source_cell"}, "SET_STYLE": {"style_id"}, "COPY_STYLE": {"source_cell"}}
 
 
 def _check_value(v) -> None:
@@ -46,7 +47,8 @@ def parse(package: Package, operations) -> list[dict]:
         kind = op.get("operation") if isinstance(op, dict) else None
         if kind not in FIELDS:
             raise EngineError(f"unknown operation {kind!r}")
-        if set(op) - FIELDS[kind] - {"operation", "sheet", "cell", "expected", "expected_formula"} or not FIELDS[kind] <= set(op):
+        more = {"source_sheet"} if "source_cell" in FIELDS[kind] else set()
+        if set(op) - FIELDS[kind] - more - {"operation", "sheet", "cell", "expected", "expected_formula"} or not FIELDS[kind] <= set(op):
             raise EngineError(f"{kind} has other fields than it needs")
         package.sheet(op.get("sheet"))
         at = refs.cell(op.get("cell"))
@@ -58,9 +60,12 @@ def parse(package: Package, operations) -> list[dict]:
             _check_value(op["value"])
         elif kind == "SET_FORMULA":
             _check_formula(op["formula"])
-        elif kind == "SET_STYLE" and (not isinstance(op["style"], int) or isinstance(op["style"], bool)):
+        elif kind == "SET_STYLE" and (not isinstance(op["style_id"], int) or isinstance(op["style_id"], bool)):
             raise EngineError("a style is a number")
-        out.append(op | {"at": at, "source_at": refs.cell(op["source"]) if "source" in op else None})
+        source = None
+        if "source_cell" in op:
+            source = package.sheet(op.get("source_sheet", op["sheet"])).name, refs.cell(op["source_cell"])
+        out.append(op | {"at": at, "source_at": source})
     return out
 
 
@@ -127,9 +132,13 @@ def apply_patch(book, operations: list[dict], output, overwrite: bool = False) -
     certificates: dict[str, str] = {}
     recalculate = False
     expected: dict[str, dict] = {}
+    sources: dict[tuple, dict] = {}
+    for sheet in {op["source_at"][0] for op in ops if op["source_at"]}:
+        wanted = {op["source_at"][1] for op in ops if op["source_at"] and op["source_at"][0] == sheet}
+        sources |= {(sheet, at): cell for at, cell in _cells(book, sheet, wanted).items()}
     for sheet in dict.fromkeys(op["sheet"] for op in ops):
         own = [op for op in ops if op["sheet"] == sheet]
-        ask = {op["at"] for op in own} | {op["source_at"] for op in own if op["source_at"]}
+        ask = {op["at"] for op in own}
         before = _cells(book, sheet, ask)
         part = package.sheet(sheet).part
         raw = package.read(part)
@@ -149,12 +158,12 @@ def apply_patch(book, operations: list[dict], output, overwrite: bool = False) -
             elif kind == "SET_FORMULA":
                 c.content = ("formula", op["formula"])
             elif kind == "COPY_FORMULA":
-                from_cell = before[op["source_at"]]
+                from_cell = sources[op["source_at"]]
                 if not from_cell["formula"] or from_cell["group"]:
-                    raise UnsupportedError(f"{op['source']} holds no formula of its own")
-                c.content = ("formula", "=" + formulas.translate(from_cell["formula"][1:], op["source_at"], at))
+                    raise UnsupportedError(f"{op['source_cell']} holds no formula of its own")
+                c.content = ("formula", "=" + formulas.translate(from_cell["formula"][1:], op["source_at"][1], at))
             else:
-                style = op["style"] if kind == "SET_STYLE" else before[op["source_at"]]["style"]
+                style = op["style_id"] if kind == "SET_STYLE" else sources[op["source_at"]]["style"]
                 if not 0 <= style < n_styles:
                     raise EngineError(f"no style {style}")
                 c.style = style

@@ -117,23 +117,6 @@ def read(raw: bytes, wanted: set[tuple[int, int]]) -> Layout:
     return Layout(rows, cells, state["data"], state["dimension"], state["prefix"], merged, groups)
 
 
-def find_rows(raw: bytes) -> int:
-    """The number of rows that the part spells."""
-    n = 0
-
-    def start(name, attrs):
-        nonlocal n
-        if main_name(name) == "row":
-            n += 1
-        if main_name(name) == "mergeCells":
-            raise Stop
-
-    import io
-
-    feed(parser(start), io.BytesIO(raw))
-    return n
-
-
 def _attrs(attrs: dict) -> str:
     return "".join(f' {k}="{escape(v, {chr(34): "&quot;"})}"' for k, v in attrs.items())
 

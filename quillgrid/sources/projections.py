@@ -12,9 +12,9 @@ import json
 import os
 import shutil
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +26,6 @@ from .cells import lookup, scan, value_of
 from .package import Package, shared_strings
 
 VERSION = 1
-#: Sheets that are scanned at the same time; each is a job of one task.
-PARALLEL = 8
 
 
 @dataclass(frozen=True)
@@ -101,15 +99,19 @@ def signature(package: Package, p: Projection) -> str:
     return hashlib.sha256(json.dumps(what).encode()).hexdigest()
 
 
-def frame(spark: SparkSession, package: Package, p: Projection) -> DataFrame:
-    """The typed rows of a projection, lazily; a value that does not fit raises when they are read."""
-    if p.data is None:
-        return spark.createDataFrame([], p.schema())
+def frames(spark: SparkSession, package: Package, wanted: list[Projection]) -> DataFrame:
+    """The typed rows of projections of the same columns, one partition each, lazily; a value that does not fit raises when they are read."""
+    p = wanted[0]
     names = [f"c{i}" for i in range(len(p.columns))]
-    raw = xlsx.projection(spark, package.path, [[p.sheet, str(p.data), list(p.indices)]], names, p.cached_formulas)
+    raw = xlsx.projection(spark, package.path, [[w.sheet, str(w.data), list(w.indices)] for w in wanted], names, p.cached_formulas)
     return raw.select(*(casts.from_text(F.col(n), casts.parse_type(t)).alias(c) for n, c, t in zip(names, p.columns, p.types)))
 
 
+def frame(spark: SparkSession, package: Package, p: Projection) -> DataFrame:
+    """The typed rows of a projection, lazily."""
+    return spark.createDataFrame([], p.schema()) if p.data is None else frames(spark, package, [p])
+
+
 class Store:
     """Parquet tables of projections in a folder."""
 
@@ -133,31 +135,56 @@ class Store:
         except Exception:
             return None
 
-    def write(self, key: str, rows: DataFrame) -> DataFrame:
-        part = os.path.join(self.folder, f".{key}-{uuid.uuid4().hex}")
-        path = self.path(key)
+    def rows(self, key: str) -> int:
+        """The number of rows of a kept table, from the ends of its files."""
+        return sum(pq.read_metadata(f.path).num_rows for f in os.scandir(self.path(key)) if f.name.startswith("part-"))
+
+    def write(self, keys: list[str], rows: DataFrame, by: str | None = None) -> None:
+        """Keep rows under a key, or under one key for each number in the column `by`, from one job."""
+        part = os.path.join(self.folder, f".{uuid.uuid4().hex}")
         try:
-            rows.write.option("compression", "zstd").parquet(part)
-            if os.path.exists(path):
-                shutil.rmtree(path)
-            os.rename(part, path)
+            writer = rows.write.option("compression", "zstd")
+            (writer.partitionBy(by) if by else writer).parquet(part)
+            for i, key in enumerate(keys):
+                made = os.path.join(part, f"{by}={i}") if by else part
+                open(os.path.join(made, "_SUCCESS"), "w").close()
+                if os.path.exists(self.path(key)):
+                    shutil.rmtree(self.path(key))
+                os.rename(made, self.path(key))
         finally:
             shutil.rmtree(part, ignore_errors=True)
-        return self.spark.read.schema(rows.schema).parquet(path)
 
 
 def load(spark: SparkSession, package: Package, wanted: list[Projection], store: Store) -> tuple[list[DataFrame], int]:
-    """Typed tables of the projections, and how many of them were kept already; missing ones are scanned side by side."""
+    """Typed tables of the projections, and how many of them were kept already.
+
+    Missing ones of the same columns are scanned, converted and written by one job, a task each.
+    """
     keys = [signature(package, p) for p in wanted]
     kept = [store.read(k, p.schema()) for k, p in zip(keys, wanted)]
-    missing = [i for i, rows in enumerate(kept) if rows is None]
-    if missing:
-        with ThreadPoolExecutor(min(PARALLEL, len(missing))) as pool:
-            made = pool.map(lambda i: store.write(keys[i], frame(spark, package, wanted[i])), missing)
-            with told():
-                for i, rows in zip(missing, made):
-                    kept[i] = rows
-    return kept, len(wanted) - len(missing)
+    groups: dict[tuple, list[int]] = {}
+    for i in sorted({k: i for i, k in enumerate(keys) if kept[i] is None}.values()):
+        p = wanted[i]
+        groups.setdefault((p.columns, p.types, p.cached_formulas, p.data is None), []).append(i)
+    with told():
+        for (columns, _, _, empty), own in groups.items():
+            first = wanted[own[0]]
+            if empty:
+                for i in own:
+                    store.write([keys[i]], spark.createDataFrame([], first.schema()))
+                continue
+            place = _free("sheet", columns)
+            rows = frames(spark, package, [wanted[i] for i in own]).withColumn(place, F.spark_partition_id())
+            store.write([keys[i] for i in own], rows, place)
+        hits = sum(rows is not None for rows in kept)
+        return [rows if rows is not None else spark.read.schema(p.schema()).parquet(store.path(k)) for k, p, rows in zip(keys, wanted, kept)], hits
+
+
+def _free(name: str, taken) -> str:
+    """A column name that is not taken, compared without case."""
+    while name in {c.casefold() for c in taken}:
+        name += "_"
+    return name
 
 
 def stamps(store: Store, package: Package, wanted: list[Projection]) -> dict[str, tuple]:

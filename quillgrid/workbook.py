@@ -27,6 +27,8 @@ SPARSE_CELLS = 10_000
 KEPT_RANGES = 16
 #: Strategy labels by uncompressed size.
 SIZES = (("small", 10 << 20), ("medium", 100 << 20), ("large", 1 << 30))
+#: First rows that are shown as headers, and of each its first labels and their first characters.
+HEADER_ROWS, HEADER_LABELS, HEADER_CHARS = 5, 20, 160
 SECTIONS = ("merged_ranges", "hidden_rows", "hidden_columns", "formula_groups", "style_counts")
 
 
@@ -120,24 +122,20 @@ class Workbook:
             meta |= self.index.summary(sheet)
             with self.package.open_part(self.package.sheet(sheet).part) as f:
                 meta |= layout.attributes(f)
-            meta["headers"] = self._headers(sheet)
-            meta["formula_groups"] = [{"first": refs.name(r.first_row, r.col), "last": refs.name(r.last_row, r.col), "count": r.n, "example": f"={r.example}"} for r in self.index.runs(sheet).orderBy("col", "first_row").limit(10_000).collect()]
+            meta["headers"] = self.index.headers(sheet, HEADER_ROWS, HEADER_LABELS, HEADER_CHARS)
+            groups = self.index.groups(sheet)
+            n_groups = groups.count()
         if section == "summary":
-            return self._told({k: v for k, v in meta.items() if k not in SECTIONS} | {f"{k}_count": len(meta[k]) for k in SECTIONS if k in meta})
+            counts = {f"{k}_count": len(meta[k]) for k in SECTIONS if k in meta} | ({"formula_groups_count": n_groups} if deep else {})
+            return self._told({k: v for k, v in meta.items() if k not in SECTIONS} | counts)
         if not deep or section not in SECTIONS:
             raise EngineError("sections need deep=True and one of " + ", ".join(SECTIONS))
+        if section == "formula_groups":
+            page = groups.orderBy("row", "col").offset(offset).limit(limit).collect()
+            return self._told({"sheet": sheet, "section": section, "items": [{"range": r.range, "type": r.type, "anchor": r.anchor} for r in page], "total": n_groups})
         items = list(meta[section].items()) if isinstance(meta[section], dict) else meta[section]
         return self._told({"sheet": sheet, "section": section, "items": items[offset : offset + limit], "total": len(items)})
 
-    def _headers(self, sheet: str) -> list[dict]:
-        """Up to five of the first rows that hold text, with up to 20 texts of 160 characters each."""
-        rows = self.index.cells(sheet).where("row <= 20 and kind in ('s', 'str', 'inlineStr') and formula is null").select("row", "col", "value_text").orderBy("row", "col").limit(20 * 100).collect()
-        by_row: dict[int, list[str]] = {}
-        for r in rows:
-            if r.value_text and r.value_text.strip():
-                by_row.setdefault(r.row, []).append(r.value_text[:160])
-        return [{"row": r, "labels": texts[:20]} for r, texts in sorted(by_row.items())[:5]]
-
     def find_text(self, query: str, sheets: list[str] | None = None, limit: int = 20, full: bool = False) -> dict:
         if not 1 <= limit <= 1000:
             raise EngineError("limit must be 1 to 1000")
@@ -287,7 +285,7 @@ class Workbook:
         with self.metrics.timed("load"):
             (rows,), hits = projections.load(self.spark, self.package, [p], store)
         self.package.check_unchanged()
-        n = rows.count()
+        n = store.rows(projections.signature(self.package, p))
         self.relations.register(name, rows)
         self._loaded[name.casefold()] = (p,)
         self._stamps[name.casefold()] = projections.stamps(store, self.package, [p])

@@ -9,42 +9,46 @@ from quillgrid import EngineError, UnsupportedError, Workbook
 from quillgrid.patch import archive
 
 
-def op(kind, cell, sheet="Assumptions", **k):
+def op(kind, cell, sheet="Tariffs", **k):
     return {"operation": kind, "sheet": sheet, "cell": cell, **k}
 
 
 @pytest.fixture
 def model(tmp_path):
-    return X.model(tmp_path / "m.xlsx")
+    return X.freight(tmp_path / "m.xlsx")
 
 
 def test_patch_keeps_other_bytes(model, tmp_path):
     out = tmp_path / "o.xlsx"
-    ops = [op("SET_VALUE", "B1", value=0.09, expected=0.08), op("SET_STYLE", "B1", style=2), op("SET_FORMULA", "C1", formula="=B1*2"), op("COPY_FORMULA", "C8", source="B8", ), op("SET_VALUE", "F30", value="=text & <more>"), op("SET_VALUE", "A2", value=None), op("SET_VALUE", "B2", value=True), op("COPY_STYLE", "D1", source="B1")]
+    ops = [
+        op("SET_VALUE", "C2", value=0.2, expected=0.15), op("SET_STYLE", "C2", style_id=2), op("SET_FORMULA", "D2", formula="=C2*C3"), op("COPY_FORMULA", "D9", source_cell="C9"),
+        op("SET_VALUE", "A40", value="=text & <more>"), op("SET_VALUE", "B3", value=None), op("SET_VALUE", "C3", value=False), op("COPY_STYLE", "E2", source_cell="C2"),
+        op("COPY_FORMULA", "D10", source_sheet="Freight", source_cell="E6"), op("COPY_STYLE", "F5", "Freight", source_sheet="Tariffs", source_cell="C9"),
+    ]
     with Workbook(model) as w:
         told = w.patch_cells(ops, out)
-        assert told["changed_cells"] == 7 and told["recalculation_requested"]
+        assert told["changed_cells"] == 9 and told["recalculation_requested"]
         with pytest.raises(EngineError, match="exists"):
             w.patch_cells(ops, out)
     with Workbook(out) as w:
-        assert w.read_range("Assumptions", "A1:B2")["rows"] == [["China revenue growth assumption", 0.09], [None, True]]
-        assert w.get_formulas("Assumptions", "B8:C8")[1]["formula"] == "=C1*100"
-        assert w.get_formulas("Assumptions", "C1:C1")[0]["formula"] == "=B1*2"
-        assert w.read_cells("Assumptions", ["F30"])[0]["value"] == "=text & <more>"
-        assert w.get_cells("Assumptions", "B1:D1")[0]["style"] == 2 and w.get_cells("Assumptions", "D1:D1")[0]["style"] == 1
+        assert w.read_range("Tariffs", "B2:C3")["rows"] == [["Fuel surcharge", 0.2], [None, False]]
+        formulas = {f["cell"]: f["formula"] for f in w.get_formulas("Tariffs", "C2:D10")}
+        assert formulas == {"D2": "=C2*C3", "C9": "=C2+C3", "D9": "=D2+D3", "D10": "=B10*C10"}
+        assert w.read_cells("Tariffs", ["A40"])[0]["value"] == "=text & <more>"
+        assert [w.get_cells("Tariffs", c)[0]["style"] for c in ("C2:C2", "E2:E2")] == [2, 1] and w.get_cells("Freight", "F5:F5")[0]["style"] == 2
         assert w.package.calculation["fullCalcOnLoad"] == "1"
     with zipfile.ZipFile(model) as a, zipfile.ZipFile(out) as b:
         assert a.namelist() == b.namelist()
         for n in a.namelist():
-            if n not in ("xl/worksheets/sheet2.xml", "xl/workbook.xml"):
-                assert a.read(n) == b.read(n)
+            assert (a.read(n) == b.read(n)) != (n in ("xl/worksheets/sheet1.xml", "xl/worksheets/sheet2.xml", "xl/workbook.xml"))
+        members = len(b.namelist())
     audit = json.loads((tmp_path / "o.xlsx.audit.json").read_text())
-    assert audit["changes"][0]["before"]["value"] == 0.08 and len(audit["compressed_records"]) == len(audit and zipfile.ZipFile(out).namelist()) - 2
+    assert audit["changes"][0]["before"]["value"] == 0.15 and len(audit["compressed_records"]) == members - 3
 
 
 def test_style_only_edits_do_not_recalculate(model, tmp_path):
     with Workbook(model) as w:
-        assert not w.patch_cells([op("SET_STYLE", "B1", style=0)], tmp_path / "o.xlsx")["recalculation_requested"]
+        assert not w.patch_cells([op("SET_STYLE", "C2", style_id=0)], tmp_path / "o.xlsx")["recalculation_requested"]
     with Workbook(tmp_path / "o.xlsx") as w:
         assert "fullCalcOnLoad" not in w.package.calculation
 
@@ -61,9 +65,10 @@ def test_calculation_chain_is_removed(tmp_path):
 @pytest.mark.parametrize(
     "bad",
     [
-        [], [op("SET_VALUE", "B1", value=float("nan"))], [op("SET_VALUE", "B1", value="x" * 32768)], [op("SET_VALUE", "B1", value=[1])], [op("SET_FORMULA", "B1", formula="B2")], [op("SET_FORMULA", "B1", formula="=")],
-        [op("SET_STYLE", "B1", style=99)], [op("SET_VALUE", "B4", value=1)], [op("SET_VALUE", "A1", "Transactions", value="x")], [op("SET_VALUE", "B1", value=1), op("SET_FORMULA", "B1", formula="=1")],
-        [op("SET_VALUE", "B1", value=1, expected=0.5)], [op("SET_VALUE", "B8", value=1, expected_formula="=B2")], [op("COPY_FORMULA", "C1", source="A1")], [op("SET_VALUE", "B1", "Nope", value=1)], [op("ERASE", "B1")], [op("SET_VALUE", "B1", value=1, extra=2)],
+        [], [op("SET_VALUE", "C2", value=float("nan"))], [op("SET_VALUE", "C2", value="x" * 32768)], [op("SET_VALUE", "C2", value=[1])], [op("SET_FORMULA", "C2", formula="C3")], [op("SET_FORMULA", "C2", formula="=")],
+        [op("SET_STYLE", "C2", style_id=99)], [op("SET_STYLE", "C2", style=1)], [op("SET_VALUE", "C6", value=1)], [op("SET_VALUE", "A3", "Freight", value="x")], [op("SET_VALUE", "C2", value=1), op("SET_FORMULA", "C2", formula="=1")],
+        [op("SET_VALUE", "C2", value=1, expected=0.5)], [op("SET_VALUE", "C9", value=1, expected_formula="=C2")], [op("COPY_FORMULA", "D1", source_cell="B2")], [op("COPY_FORMULA", "D1", source_cell="C9", source_sheet="Nope")],
+        [op("SET_VALUE", "C2", "Nope", value=1)], [op("ERASE", "C2")], [op("SET_VALUE", "C2", value=1, extra=2)], [op("SET_VALUE", "C2", value=1, source_sheet="Freight")],
     ],
 )
 def test_refusals_write_nothing(model, tmp_path, bad):
@@ -86,9 +91,9 @@ def test_formula_groups_and_paths(tmp_path):
 
 def test_write_range(model, tmp_path):
     with Workbook(model) as w:
-        w.write_range("Assumptions", "H1", [[1, "a"], [2, "b"]], tmp_path / "o.xlsx")
+        w.write_range("Tariffs", "H1", [[1, "a"], [2, "b"]], tmp_path / "o.xlsx")
     with Workbook(tmp_path / "o.xlsx") as w:
-        assert w.read_range("Assumptions", "H1:I2")["rows"] == [[1, "a"], [2, "b"]]
+        assert w.read_range("Tariffs", "H1:I2")["rows"] == [[1, "a"], [2, "b"]]
 
 
 def test_archive_copies_records_with_data_descriptors(tmp_path):
