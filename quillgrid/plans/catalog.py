@@ -189,12 +189,20 @@ def key_audit_duplicates(spark, d):
     return reconcile.key_audit(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+@query("""SELECT count(*) AS total, count(*) FILTER (WHERE k IS NULL OR p IS NULL) AS null_keys, count(DISTINCT (k, p)) AS distinct_keys
+FROM (SELECT nullif(o_custkey % 100, 7) AS k, nullif(o_orderpriority, '5-LOW') AS p FROM orders)""")
+def key_audit_nulls(spark, d):
+    rows = table(spark, d, "orders").select(F.nullif(F.col("o_custkey") % 100, F.lit(7)).alias("k"), F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("p"))
+    return reconcile.key_audit(rows, ["k", "p"])
+
+
 # --- reconciliation ----------------------------------------------------------------------------
 
-_SNAPSHOTS = """WITH b AS (SELECT 'Partition' || (o_orderkey % 4)::VARCHAR AS sheet, o_orderkey AS "ID", o_totalprice::DECIMAL(18,2) AS "Amount", nullif(o_orderstatus, 'F') AS "Status" FROM orders),
-a AS (SELECT 'Partition' || ((o_orderkey + 1) % 4)::VARCHAR AS sheet, o_orderkey AS "ID", o_totalprice::DECIMAL(18,2) + CASE WHEN o_orderkey % 101 = 0 THEN 0.05 ELSE 0 END::DECIMAL(18,2) AS "Amount",
-  CASE WHEN o_orderkey % 53 = 0 THEN NULL WHEN o_orderkey % 59 = 0 THEN '' ELSE nullif(o_orderstatus, 'F') END AS "Status" FROM orders WHERE o_orderkey % 97 <> 0
-  UNION ALL SELECT 'New', o_orderkey + 1000000000, o_totalprice::DECIMAL(18,2), o_orderstatus FROM orders WHERE o_orderkey % 89 = 0),
+#: Snapshots of orders: the earlier one by priority, the later one by status, with some orders gone, dearer, of another status or new.
+_SNAPSHOTS = """WITH b AS (SELECT 'priority ' || left(o_orderpriority, 1) AS sheet, o_orderkey AS "ID", o_totalprice::DECIMAL(18,2) AS "Amount", nullif(o_orderstatus, 'P') AS "Status" FROM orders),
+a AS (SELECT 'status ' || o_orderstatus AS sheet, o_orderkey AS "ID", CASE WHEN o_custkey % 31 = 4 THEN o_totalprice::DECIMAL(18,2) + 12.34 ELSE o_totalprice::DECIMAL(18,2) END AS "Amount",
+  CASE WHEN o_custkey % 37 = 3 THEN NULL WHEN o_custkey % 43 = 6 THEN '' ELSE nullif(o_orderstatus, 'P') END AS "Status" FROM orders WHERE o_orderkey % 23 <> 7
+  UNION ALL SELECT 'late', -o_orderkey, o_totalprice::DECIMAL(18,2), o_orderstatus FROM orders WHERE o_orderkey % 41 = 5),
 j AS (SELECT b.sheet AS before_sheet, a.sheet AS after_sheet, coalesce(b."ID", a."ID") AS k0, b."Amount" AS b0, b."Status" AS b1, a."Amount"::DECIMAL(18,2) AS a0, a."Status" AS a1,
   CASE WHEN b."ID" IS NULL THEN 'added' WHEN a."ID" IS NULL THEN 'removed' ELSE 'changed' END AS kind,
   b."ID" IS NOT NULL AND a."ID" IS NOT NULL AS paired FROM b FULL JOIN a ON b."ID" = a."ID"),
@@ -203,13 +211,12 @@ c AS (SELECT kind, before_sheet, after_sheet, k0, b0, b1, a0, a1 FROM j WHERE NO
 
 def snapshots(spark, d) -> tuple[DataFrame, DataFrame]:
     orders = table(spark, d, "orders")
-    key, price, status = F.col("o_orderkey"), F.col("o_totalprice").cast(MONEY), F.nullif(F.col("o_orderstatus"), F.lit("F"))
-    sheet = lambda k: F.concat(F.lit("Partition"), (k % 4).cast("string"))
-    before = orders.select(sheet(key).alias("_sheet"), key.alias("ID"), price.alias("Amount"), status.alias("Status"))
-    raised = (price + F.when(key % 101 == 0, F.lit("0.05").cast(MONEY)).otherwise(F.lit("0").cast(MONEY))).cast(MONEY)
-    moved = F.when(key % 53 == 0, None).when(key % 59 == 0, "").otherwise(status)
-    after = orders.where(key % 97 != 0).select(sheet(key + 1).alias("_sheet"), key.alias("ID"), raised.alias("Amount"), moved.alias("Status"))
-    new = orders.where(key % 89 == 0).select(F.lit("New").alias("_sheet"), (key + 1000000000).alias("ID"), price.alias("Amount"), F.col("o_orderstatus").alias("Status"))
+    key, customer, price, status = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice").cast(MONEY), F.nullif(F.col("o_orderstatus"), F.lit("P"))
+    before = orders.select(F.concat(F.lit("priority "), F.left("o_orderpriority", F.lit(1))).alias("_sheet"), key.alias("ID"), price.alias("Amount"), status.alias("Status"))
+    dearer = F.when(customer % 31 == 4, price + F.lit("12.34").cast(MONEY)).otherwise(price).cast(MONEY)
+    other = F.when(customer % 37 == 3, None).when(customer % 43 == 6, "").otherwise(status)
+    after = orders.where(key % 23 != 7).select(F.concat(F.lit("status "), "o_orderstatus").alias("_sheet"), key.alias("ID"), dearer.alias("Amount"), other.alias("Status"))
+    new = orders.where(key % 41 == 5).select(F.lit("late").alias("_sheet"), (-key).alias("ID"), price.alias("Amount"), F.col("o_orderstatus").alias("Status"))
     return before, after.unionByName(new)
 
 
@@ -432,9 +439,9 @@ def set_intersect_all(spark, d):
     return o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")).intersectAll(o.where("o_orderstatus = 'F'").select("o_custkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def set_except(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").select("o_custkey"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey"))
 
 
 @query("SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey FROM customer")
@@ -507,10 +514,10 @@ def bm25_search(spark, d):
     return search.bm25(search.ascii_tokens(docs, "doc_id", "text"), docs.count(), "doc_id", ["thinged", "the", "worthless"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("""SELECT page_id AS cell, CASE WHEN page_id // 8 + 1 <= 20 THEN 'header' WHEN page_id % 8 + 1 <= 3 THEN 'label' ELSE 'body' END AS kind, substring(url, 1, 12) AS text FROM pages""")
+@query("""SELECT page_id AS cell, CASE WHEN page_id // 8 + 1 <= 20 THEN 'header' WHEN page_id % 8 + 1 <= 3 THEN 'label' ELSE 'body' END AS kind, substring(url, 1, 2048) AS text FROM pages""")
 def label_classify(spark, d):
     rows = table(spark, d, "pages").select(F.col("page_id").alias("cell"), F.expr("page_id div 8 + 1").alias("row"), (F.col("page_id") % 8 + 1).alias("col"), F.col("url").alias("value_text"))
-    return search.labels(rows, clip=12).select("cell", "kind", "text")
+    return search.labels(rows).select("cell", "kind", "text")
 
 
 @query("""WITH c AS (SELECT DISTINCT l_orderkey AS row, l_linenumber AS col, 'p' || (l_orderkey // 50 % 3) AS pattern FROM lineitem WHERE l_linenumber <= 3),
@@ -548,16 +555,17 @@ def expected_value_check(spark, d):
 # --- workbooks ---------------------------------------------------------------------------------
 
 
-def _workbook(spark, d):
-    """Customers of two nations and the nations as a workbook in the shared folder: (path, ranges)."""
+def _workbook(spark, d, shared=False):
+    """All customers by nation as a workbook in the shared folder, in columns of two orders: (path, ranges)."""
     folder = tempfile.mkdtemp(prefix="book-", dir=shared_dir(spark))
     path = os.path.join(folder, "book.xlsx")
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("ID"), F.col("c_acctbal").cast(MONEY).alias("Balance"), F.col("c_mktsegment").alias("Segment"), "c_nationkey")
-    sheets = {f"Nation{k}": rows.where(F.col("c_nationkey") == k).select(*(["ID", "Balance", "Segment"] if k % 2 else ["Segment", "ID", "Balance"])).orderBy("ID") for k in (3, 4)}
+    nations = sorted(r[0] for r in table(spark, d, "nation").select("n_nationkey").collect())
+    sheets = {f"Nation{k}": rows.where(F.col("c_nationkey") == k).select(*(["ID", "Balance", "Segment"] if k % 2 else ["Segment", "ID", "Balance"])).orderBy("ID") for k in nations}
     return path, write_workbook(path, sheets)
 
 
-@query("""SELECT c_custkey AS "ID", c_acctbal::DECIMAL(18,2) AS "Balance", c_mktsegment AS "Segment", 'Nation' || c_nationkey::VARCHAR AS _sheet FROM customer WHERE c_nationkey IN (3, 4)""")
+@query("""SELECT c_custkey AS "ID", c_acctbal::DECIMAL(18,2) AS "Balance", c_mktsegment AS "Segment", 'Nation' || c_nationkey::VARCHAR AS _sheet FROM customer""")
 def workbook_union(spark, d):
     path, ranges = _workbook(spark, d)
     with Package(path) as package:
@@ -567,7 +575,7 @@ def workbook_union(spark, d):
         return relations.union_sheets({s: projections.frame(spark, package, p) for s, p in plans.items()}, list(schema))
 
 
-@query("""SELECT 'Nation3' AS sheet, 3 * count(*) + 3 AS nonempty, 1 AS first_row, count(*)::INTEGER + 1 AS last_row FROM customer WHERE c_nationkey = 3""")
+@query("""SELECT 'Nation' || n_nationkey::VARCHAR AS sheet, 3 * count(c_custkey) + 3 AS nonempty, 1 AS first_row, count(c_custkey)::INTEGER + 1 AS last_row FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey""")
 def workbook_cells(spark, d):
-    path, _ = _workbook(spark, d)
-    return discovery.bounds(xlsx.cells(spark, path, [("Nation3", None)])).select("sheet", "nonempty", "first_row", "last_row")
+    path, ranges = _workbook(spark, d)
+    return discovery.bounds(xlsx.cells(spark, path, [(s, None) for s in ranges])).select("sheet", "nonempty", "first_row", "last_row")
