@@ -44,7 +44,7 @@ TOP_WORDS = 4096
 ENDINGS = 4096
 STATES = 6
 ITERATIONS = 4
-WINDOW = 128
+WINDOW = 512
 ADD = 0.1
 #: The end token; no word is empty.
 END = b""

@@ -15,6 +15,9 @@ FOREIGN = frozenset("svg math".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
+#: Elements whose inside does not end what is open around them, but for parts of tables.
+CELLS = ("td", "th", "table")
+SPECIAL = FOREIGN.union(CELLS)
 #: What the start of an element ends, if it is open above the nearest of the second group.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
 
@@ -60,6 +63,7 @@ class _Open:
         self.nodes: list[Node] = []
         self.places: dict[str, list[int]] = {}
         self.block_places: list[int] = []
+        self.special = 0  # open elements of FOREIGN and CELLS
 
     def last(self, *tags: str) -> int:
         """The innermost place of any of the elements, or -1."""
@@ -74,6 +78,8 @@ class _Open:
         self.places.setdefault(tag, []).append(at)
         if tag in BLOCK:
             self.block_places.append(at)
+        if tag in SPECIAL:
+            self.special += 1
 
     def close(self, at: int) -> None:
         """End the element at a place and all inside of it."""
@@ -82,6 +88,8 @@ class _Open:
             self.places[tag].pop()
             if tag in BLOCK:
                 self.block_places.pop()
+            if tag in SPECIAL:
+                self.special -= 1
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -159,24 +167,25 @@ def blocks(page: str | None) -> list[Block]:
         if tag == "br":
             parts.append(" ")
             continue
-        foreign = open_.first(*FOREIGN)
+        foreign = open_.first(*FOREIGN) if open_.special else None
         block = tag in BLOCK and (foreign is None or tag != "title")
         if block:
             flush()
         if m[1]:
-            own = open_.last(tag)
-            if own >= 0 and (tag in ("table", "tr", "tbody", "thead", "tfoot") or own >= open_.last("td", "th", "table")):
-                open_.close(own)
+            own = open_.places.get(tag)
+            if own and (not open_.special or tag in ("table", "tr", "tbody", "thead", "tfoot") or own[-1] >= open_.last(*CELLS)):
+                open_.close(own[-1])
             continue
         if block:
             if foreign is not None:
                 open_.close(foreign)
             if open_.block_places and open_.nodes[open_.block_places[-1]].tag == "p":
                 open_.close(open_.block_places[-1])
-            ended, within = _ENDS.get(tag, ((), ()))
-            own = open_.last(*ended)
-            if own > open_.last(*within):
-                open_.close(own)
+            if tag in _ENDS:
+                ended, within = _ENDS[tag]
+                own = open_.last(*ended)
+                if own > open_.last(*within):
+                    open_.close(own)
         if tag not in VOID and not (m[3].endswith("/") and (tag in FOREIGN or foreign is not None and not block)):
             names = " ".join(x or y or z for x, y, z in _NAMES.findall(m[3])) if "=" in m[3] else ""
             open_.push(tag, names)

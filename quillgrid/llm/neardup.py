@@ -497,3 +497,21 @@ def deduplicated(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "d
     stay = some.where("kept").select(F.col(id_col).cast("bigint").alias("_id"), F.col("n_shingles").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
     both = again.alias("a").join(stay.alias("s"), same & (F.col("a._n") == F.col("s._n")) & (F.col("a._h1") == F.col("s._h1")) & (F.col("a._h2") == F.col("s._h2")), "left_semi")
     return out.union(both.select(*(f"a.`{c}`" for c in docs.columns)))
+
+
+#: The same rows by DuckDB: all pairs of documents with a common shingle, and their closure.
+ORACLE_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d),
+s AS (SELECT DISTINCT doc_id, g FROM (
+  SELECT doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g FROM w WHERE len(ws) >= 5
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN n AS p ON p.doc_id = x JOIN n AS q ON q.doc_id = y WHERE 100 * common >= 75 * (p.n + q.n - common)),
+both_ways AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach(x, y) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.x, b.y FROM reach AS r JOIN both_ways AS b ON r.y = b.x),
+least AS (SELECT x, min(y) AS m FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m, d.doc_id) AS component_id, coalesce(m, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON x = d.doc_id
+"""

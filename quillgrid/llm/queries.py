@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, quality, topk
+from . import chat, neardup, quality, topk
 from .common import table
 
 
@@ -58,9 +58,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .neardup import near_duplicates
-
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
@@ -76,4 +74,4 @@ QUERIES = {
     "op10_minhash_neardup": op10_minhash_neardup,
 }
 
-ORACLE: dict[str, str] = {"op7_exact_topk": topk.ORACLE_SQL, "op8_chat_format": chat.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op7_exact_topk": topk.ORACLE_SQL, "op8_chat_format": chat.ORACLE_SQL, "op9_quality_rules": quality.ORACLE_SQL, "op10_minhash_neardup": neardup.ORACLE_SQL}
