@@ -6,6 +6,7 @@ Ordering is explicit about nulls, sums of money are decimals, and every computed
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 from collections.abc import Callable
@@ -13,12 +14,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..compare import reconcile as compare
 from ..functions import refs
 from ..operators import discovery, profiling, reconcile, relations, search
 from ..session import shared_dir
 from ..sources import projections, xlsx
 from ..sources.export import write_workbook
 from ..sources.package import Package
+from ..workbook import Workbook
 
 MONEY = "decimal(18,2)"
 
@@ -555,7 +558,7 @@ def expected_value_check(spark, d):
 # --- workbooks ---------------------------------------------------------------------------------
 
 
-def _workbook(spark, d, shared=False):
+def _workbook(spark, d):
     """All customers by nation as a workbook in the shared folder, in columns of two orders: (path, ranges)."""
     folder = tempfile.mkdtemp(prefix="book-", dir=shared_dir(spark))
     path = os.path.join(folder, "book.xlsx")
@@ -579,3 +582,75 @@ def workbook_union(spark, d):
 def workbook_cells(spark, d):
     path, ranges = _workbook(spark, d)
     return discovery.bounds(xlsx.cells(spark, path, [(s, None) for s in ranges])).select("sheet", "nonempty", "first_row", "last_row")
+
+
+_CUSTOMERS = {"ID": "BIGINT", "Balance": "DECIMAL(18,2)", "Segment": "VARCHAR"}
+
+
+@query("""SELECT 'Nation' || c_nationkey::VARCHAR AS sheet, c_mktsegment AS "Segment", count(*) AS n, sum(c_acctbal::DECIMAL(18,2)) AS total FROM customer GROUP BY ALL""")
+def workbook_sql(spark, d):
+    """The second workbook object finds the projections that the first one kept."""
+    path, ranges = _workbook(spark, d)
+    for _ in range(2):
+        with Workbook(path, spark, os.path.dirname(path)) as book:
+            book.load_sheets("Customers", ranges, _CUSTOMERS, "sheet")
+            out = book.frame('SELECT sheet, "Segment", count(*) AS n, CAST(sum("Balance") AS DECIMAL(38,2)) AS total FROM Customers GROUP BY sheet, "Segment"')
+            hits = book.metrics.counts["persistent_table_hits"]
+    if hits != len(ranges):
+        raise AssertionError(f"{hits} of {len(ranges)} kept projections were found")
+    return out
+
+
+@query("""SELECT CASE WHEN c_custkey = (SELECT min(c_custkey) FROM customer WHERE c_nationkey = 3) THEN -c_custkey ELSE c_custkey END AS "ID",
+CASE WHEN c_custkey = (SELECT max(c_custkey) FROM customer WHERE c_nationkey = 4) THEN NULL ELSE c_acctbal::DECIMAL(18,2) END AS "Balance", c_mktsegment AS "Segment", 'Nation' || c_nationkey::VARCHAR AS sheet FROM customer""")
+def workbook_patch(spark, d):
+    path, ranges = _workbook(spark, d)
+    made = os.path.join(os.path.dirname(path), "patched.xlsx")
+    last = refs.area(ranges["Nation4"]).bottom
+    with Workbook(path, spark) as book:
+        first = book.read_cells("Nation3", ["A2"])[0]["value"]
+        ops = [{"operation": "SET_VALUE", "sheet": "Nation3", "cell": "A2", "value": -first, "expected": first}, {"operation": "SET_VALUE", "sheet": "Nation4", "cell": f"C{last}", "value": None}]
+        book.patch_cells(ops, made)
+    with Workbook(made, spark, os.path.dirname(path)) as book:
+        book.load_sheets("Customers", ranges, _CUSTOMERS, "sheet")
+        return book.relation("Customers")
+
+
+@query("""WITH c AS (SELECT * FROM customer WHERE c_nationkey = 3 ORDER BY c_custkey LIMIT 1) SELECT 'A2' AS cell, '-1' AS expected, c_custkey::VARCHAR AS actual FROM c UNION ALL SELECT 'C2', 'NOTHING', c_mktsegment FROM c UNION ALL SELECT 'Z2', 'x', NULL""")
+def workbook_validate(spark, d):
+    path, _ = _workbook(spark, d)
+    with Workbook(path, spark) as book:
+        told = book.validate_range("Nation3", "A1:Z2", {"A1": "ID", "A2": -1, "C2": "NOTHING", "Z2": "x"})["mismatches"]
+    text = lambda v: None if v is None else str(v)
+    return spark.createDataFrame([(m["cell"], str(m["expected"]), text(m["actual"])) for m in told], "cell string, expected string, actual string")
+
+
+@query("""WITH c AS (SELECT row_number() OVER (ORDER BY c_custkey) AS r, * FROM customer WHERE c_nationkey = 3), t AS (SELECT r * 3 AS pos, 'A' || (r + 1)::VARCHAR AS cell, c_custkey::VARCHAR AS value FROM c UNION ALL SELECT r * 3 + 1, 'C' || (r + 1)::VARCHAR, c_mktsegment FROM c UNION ALL SELECT r * 3 + 2, 'E' || (r + 1)::VARCHAR, NULL FROM c)
+SELECT row_number() OVER (ORDER BY pos) AS place, cell, value FROM t""")
+def workbook_sparse(spark, d):
+    path, ranges = _workbook(spark, d)
+    rows = range(2, refs.area(ranges["Nation3"]).bottom + 1)
+    with Workbook(path, spark) as book:
+        got = book.read_cells("Nation3", [f"{c}{r}" for r in rows for c in "ACE"])
+    return spark.createDataFrame([(k, c["cell"], None if c["value"] is None else str(c["value"])) for k, c in enumerate(got, 1)], "place long, cell string, value string")
+
+
+@query(_SNAPSHOTS + """SELECT row_number() OVER (ORDER BY k0) AS line, kind, k0 AS "ID", before_sheet, after_sheet, b0::VARCHAR AS before_amount, a0::VARCHAR AS after_amount, b1 AS before_status, a1 AS after_status FROM c""")
+def workbook_reconcile(spark, d):
+    """Both snapshots of all orders as workbooks, compared; the lines of the exported file in their order."""
+    folder = tempfile.mkdtemp(prefix="compared-", dir=shared_dir(spark))
+    paths, ranges = [], []
+    for name, rows in zip(("before", "after"), snapshots(spark, d)):
+        sheets = sorted(r[0] for r in rows.select("_sheet").distinct().collect())
+        paths.append(os.path.join(folder, f"{name}.xlsx"))
+        ranges.append(write_workbook(paths[-1], {s: rows.where(F.col("_sheet") == s).select(*(["ID", "Amount", "Status"] if k % 2 else ["Status", "Amount", "ID"])) for k, s in enumerate(sheets)}, 1_000_000))
+    out = os.path.join(folder, "changes.jsonl")
+    schema = {"ID": "BIGINT", "Amount": "DECIMAL(18,2)", "Status": "VARCHAR"}
+    compare(*paths, before_ranges=ranges[0], after_ranges=ranges[1], schema=schema, keys=["ID"], spark=spark, output=out, cache_dir=folder)
+    told = []
+    with open(out, encoding="utf-8") as f:
+        for n, line in enumerate(f, 1):
+            x = json.loads(line)
+            sides = [x[s] or {"sheet": None, "values": {}} for s in ("before", "after")]
+            told.append((n, x["kind"], x["key"]["ID"], *(s["sheet"] for s in sides), *(s["values"].get("Amount") for s in sides), *(s["values"].get("Status") for s in sides)))
+    return spark.createDataFrame(told, "line long, kind string, ID long, before_sheet string, after_sheet string, before_amount string, after_amount string, before_status string, after_status string")
