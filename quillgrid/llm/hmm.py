@@ -45,6 +45,8 @@ ENDINGS = 4096
 STATES = 6
 ITERATIONS = 4
 WINDOW = 512
+#: Windows that are run side by side, and their tokens with the padding.
+SIDE_BY_SIDE, CELLS = 4096, 1 << 19
 ADD = 0.1
 #: The end token; no word is empty.
 END = b""
@@ -171,6 +173,15 @@ def encoded_blocks(docs: DataFrame, model: Model, id_col: str, text_col: str, mo
     return spread(docs.select(id_col, text_col)).mapInArrow(run, fields)
 
 
+def _batches(order: np.ndarray, lengths: np.ndarray):
+    """Runs of windows in falling order of length that are worked on at once."""
+    lo = 0
+    while lo < len(order):
+        n = max(1, min(SIDE_BY_SIDE, CELLS // int(lengths[order[lo]])))
+        yield order[lo : lo + n]
+        lo += n
+
+
 def borders(parts: list[np.ndarray], starts: list[int], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Of each window the states before it (given all up to there) and what follows its end, up to scale.
 
@@ -187,25 +198,28 @@ def borders(parts: list[np.ndarray], starts: list[int], model: Model) -> tuple[n
     lengths = np.array([len(parts[i]) for i in several])
     order = np.argsort(-lengths, kind="stable")
     a = model.move.astype(np.float32)
-    e = np.ascontiguousarray(model.emit, dtype=np.float32)
+    e = np.ascontiguousarray(model.emit * len(model.prior), dtype=np.float32)  # about 1 in the mean, so that some products stay in range
     moved = np.empty((n, states, states))  # transfer matrices
-    for lo in range(0, len(order), 1024):
-        own, size = several[order[lo : lo + 1024]], lengths[order[lo : lo + 1024]]
+    for some in _batches(order, lengths):
+        own, size = several[some], lengths[some]
         ids = np.zeros((int(size[0]), len(own)), dtype=np.int64)
         for k, i in enumerate(own):
             ids[: size[k], k] = parts[i]
-        x = np.tile(np.eye(states, dtype=np.float32), (len(own), 1, 1))
+        x = np.repeat(np.eye(states, dtype=np.float32)[:, None], len(own), axis=1)  # state before x window x state
         live = np.searchsorted(-size, -np.arange(len(ids)), side="left")
         for t in range(len(ids)):
             m = live[t]
-            y = x[:m]
-            if t:
-                y = y @ a
+            y = (x[:, :m].reshape(-1, states) @ a).reshape(states, m, states)
+            if not t:  # a first window's states are those at its first token
+                y[:, first[own[:m]]] = np.eye(states)[:, None]
+            y *= e[ids[t, :m]]
+            if t % 4 == 3:  # only the proportions count
+                y /= y.sum(axis=(0, 2))[:, None]
+            if m == x.shape[1]:
+                x = y
             else:
-                later = ~first[own][:m, None, None]  # a first window's states are those at its first token
-                y = np.where(later, y @ a, y)
-            y = y * e[ids[t, :m], None, :]
-            x[:m] = y / y.sum(axis=(1, 2), keepdims=True)
+                x[:, :m] = y
+        x = x.transpose(1, 0, 2)
         moved[own] = x
     place = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))  # of a window in its text
     for k in range(1, int(place.max()) + 1):
@@ -231,9 +245,8 @@ def expected_counts(seqs: list[np.ndarray], model: Model, window: int = WINDOW)
     before, after = borders(parts, starts, model)
     is_first = np.zeros(len(parts), dtype=bool)
     is_first[starts] = True
-    order = np.argsort([-len(p) for p in parts], kind="stable")
-    for lo in range(0, len(order), 1024):
-        at = order[lo : lo + 1024]
+    sizes = np.array([len(p) for p in parts], dtype=np.int64)
+    for at in _batches(np.argsort(-sizes, kind="stable"), sizes):
         own = [parts[i] for i in at]
         lengths = np.array([len(p) for p in own])
         first, came = is_first[at], before[at].astype(np.float32)
