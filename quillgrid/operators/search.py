@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,15 +57,20 @@ def _occurrences(phrase: list[str]) -> Column:
     return F.when(F.size("tokens") >= len(phrase), hits).otherwise(0)
 
 
-def bm25(docs: DataFrame, total: int | None, key: str | list[str], terms: list[str | list[str]]) -> DataFrame:
+def bm25(docs: DataFrame, total: int | None, key: str | list[str], terms: list[str | list[str]], folder: str | None = None) -> DataFrame:
     """(key, score) of the documents that hold a term; the best score is the least.
 
     Frequencies are counted inside each document's row; only one row of totals is gathered, so the
-    ranking needs no shuffle of documents or tokens. Totals are over all documents given.
+    ranking needs no shuffle of documents or tokens. Totals are over all documents given. They are read twice;
+    where their tokens are not at hand, the counts are written to a folder in between.
     """
     keys = [key] if isinstance(key, str) else key
     phrases = [[t] if isinstance(t, str) else t for t in terms]
     counted = docs.select(*keys, F.size("tokens").alias("len"), *(_occurrences(p).alias(f"f{i}") for i, p in enumerate(phrases)))
+    if folder:
+        path = os.path.join(folder, f"counts-{uuid.uuid4().hex}")
+        counted.write.parquet(path)
+        counted = docs.sparkSession.read.schema(counted.schema).parquet(path)
     sums = counted.agg(F.count("*"), F.sum("len"), *(F.count_if(F.col(f"f{i}") > 0) for i in range(len(phrases)))).first()
     n = sums[0] if total is None else total
     if not n or not phrases:

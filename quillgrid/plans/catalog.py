@@ -514,7 +514,7 @@ SELECT doc_id, round(-s, 6) AS score FROM x"""
 @query(_BM25)
 def bm25_search(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return search.bm25(search.ascii_tokens(docs, "doc_id", "text"), docs.count(), "doc_id", ["thinged", "the", "worthless"]).select("doc_id", F.round("score", 6).alias("score"))
+    return search.bm25(search.ascii_tokens(docs, "doc_id", "text"), docs.count(), "doc_id", ["thinged", "the", "worthless"], shared_dir(spark)).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("""SELECT page_id AS cell, CASE WHEN page_id // 8 + 1 <= 20 THEN 'header' WHEN page_id % 8 + 1 <= 3 THEN 'label' ELSE 'body' END AS kind, substring(url, 1, 2048) AS text FROM pages""")
