@@ -1,8 +1,8 @@
 """From documents to packed training sequences: language ID, quality rules, near-duplicates, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last
-return the columns of their input. Extra columns, also of clashing names, pass through: a stage sees
-the columns under names of its own. An empty table passes through as one and gives no pieces.
+return the columns of their input. Extra columns, also of clashing names, pass through: the operators see
+the columns under names of their own. An empty table passes through as one and gives no pieces.
 """
 
 from __future__ import annotations
@@ -14,29 +14,22 @@ from quillgrid.llm import langid, neardup, packing, quality
 from quillgrid.llm.common import importable, stage, table
 
 
-def _own_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """docs with columns named c0_, c1_, ... and what the four that stages read are called there."""
-    importable(docs.sparkSession)
-    names = [f"c{i}_" for i in range(len(docs.columns))]
-    return docs.toDF(*names), {c: names[docs.columns.index(c)] for c in ("doc_id", "text", "lang", "source")}
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without letters or with an uncertain language go."""
-    own, name = _own_names(docs)
-    return langid.filtered(own, 0.5, name["doc_id"], name["text"], name["lang"]).toDF(*docs.columns)
+    importable(spark)
+    return langid.filtered(docs, 0.5)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the fences of their language and source."""
-    own, name = _own_names(docs)
-    return quality.filtered(own, name["text"], name["lang"], name["source"]).toDF(*docs.columns)
+    importable(spark)
+    return quality.filtered(docs)
 
 
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each near-duplicate class."""
-    own, name = _own_names(docs)
-    return neardup.deduplicated(own, id_col=name["doc_id"], text_col=name["text"]).toDF(*docs.columns)
+    importable(spark)
+    return neardup.deduplicated(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,15 @@ def unstage(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def own_names(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """docs with columns named c0_, c1_, ..., and what the wanted ones are called there.
+
+    So no column that only passes through can have the name of one that an operator adds.
+    """
+    names = [f"c{i}_" for i in range(len(docs.columns))]
+    return docs.toDF(*names), [names[docs.columns.index(c)] for c in wanted]
+
+
 def words(text: str | None, lower: bool = True) -> list[bytes]:
     """Maximal runs without ASCII white space (x20, x09-x0D), as UTF-8; lower changes A-Z only.
 

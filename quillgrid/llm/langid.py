@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, spread, stage
+from .common import bounded, own_names, spread, stage
 
 #: Of each language.
 TRAIN_ROWS = 5_000
@@ -289,9 +289,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def filtered(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs whose language is told with a score of at least `least`, with all their columns."""
-    out = identify(docs, fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), id_col, text_col, keep=True)
-    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*(f"`{c}`" for c in docs.columns))
+    """The rows of docs whose language is told with a score of at least `least`, with all their columns, which may have any names."""
+    own, (id_col, text_col, lang_col) = own_names(docs, id_col, text_col, lang_col)
+    out = identify(own, fit(own, id_col=id_col, text_col=text_col, lang_col=lang_col), id_col, text_col, keep=True)
+    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*own.columns).toDF(*docs.columns)
 
 
 def predicted(docs: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:

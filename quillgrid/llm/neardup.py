@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import bounded, mix, spread, stage, unstage
+from .common import bounded, mix, own_names, spread, stage, unstage
 from .components import components
 
 SHINGLE = 5
@@ -472,8 +472,10 @@ def deduplicated(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "d
     """The rows of docs, with all their columns, less all but one of each near-duplicate class.
 
     Of repeated rows with one id one stays. Only rows whose id may be removed, or is not unique, are
-    shuffled with their text; a filter of fixed size lets the others pass.
+    shuffled with their text; a filter of fixed size lets the others pass. The columns may have any names.
     """
+    columns = docs.columns
+    docs, (id_col, text_col) = own_names(docs, id_col, text_col)
     told = stage(classified(docs, similarity, id_col, text_col), "classified")
     some = told.where(F.col(id_col).isNotNull())
     often = stage(some.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(F.col(id_col).cast("bigint").alias("_id")), "often")
@@ -484,7 +486,7 @@ def deduplicated(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "d
     same = F.col(id_col).cast("bigint") == F.col("_id")
     out = docs.where(~mark).union(maybe.join(asked, same, "left_anti"))
     if often.isEmpty():
-        return out
+        return out.toDF(*columns)
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches):
@@ -496,7 +498,7 @@ def deduplicated(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "d
     again = maybe.join(often, same, "left_semi").mapInArrow(run, f"{kind}, _n bigint, _h1 bigint, _h2 bigint").dropDuplicates([id_col, "_n", "_h1", "_h2"])
     stay = some.where("kept").select(F.col(id_col).cast("bigint").alias("_id"), F.col("n_shingles").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
     both = again.alias("a").join(stay.alias("s"), same & (F.col("a._n") == F.col("s._n")) & (F.col("a._h1") == F.col("s._h1")) & (F.col("a._h2") == F.col("s._h2")), "left_semi")
-    return out.union(both.select(*(f"a.`{c}`" for c in docs.columns)))
+    return out.union(both.select(*(f"a.`{c}`" for c in docs.columns))).toDF(*columns)
 
 
 #: The same rows by DuckDB: all pairs of documents with a common shingle, and their closure.

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, spread, stage, words
+from .common import bounded, own_names, spread, stage, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -162,14 +162,15 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def filtered(docs: DataFrame, text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of docs that are kept, with all their columns, which must not have the names of the measures.
+    """The rows of docs that are kept, with all their columns, which may have any names.
 
     The measures are taken twice, once for the sketches and once beside the texts, so that no text is
     shuffled or written; the fences are written first, so their size is known when they are joined.
     """
-    fences = stage(thresholds(sketches(with_measures(features(docs, [lang, source], text_col)), lang, source)), "fences")
-    out = passed(with_measures(features(docs, docs.columns, text_col)), fences, lang, source)
-    return out.where("kept").select(*(f"`{c}`" for c in docs.columns))
+    own, (text_col, lang, source) = own_names(docs, text_col, lang, source)
+    fences = stage(thresholds(sketches(with_measures(features(own, [lang, source], text_col)), lang, source)), "fences")
+    out = passed(with_measures(features(own, own.columns, text_col)), fences, lang, source)
+    return out.where("kept").select(*own.columns).toDF(*docs.columns)
 
 
 #: The same rows by DuckDB.

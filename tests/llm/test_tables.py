@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillgrid.llm import chat, langid, neardup, quality, topk
@@ -435,6 +436,19 @@ def test_pipeline_equals_brute_force(spark, sf):
     assert len([n for n, _ in corpus_pipeline.STAGES]) == 4
 
 
+@pytest.mark.parametrize("of", [lambda d: langid.filtered(d, 0.5), quality.filtered, neardup.deduplicated])
+def test_filters_take_columns_of_any_names(of, spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(80)
+    docs = docs.union(docs.limit(2))  # ids that are not unique
+    clashing = ["_id", "_n", "_h1", "_lang", "n_words", "symbols", "base_failed", "kept", "outside", "lang_pred", "score", "below_", "slot", "node", "component_id", "h1", "sig"]
+    wide = docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(clashing)))
+    got, plain = of(wide), of(docs)
+    assert got.columns == wide.columns
+    rows = got.collect()
+    assert all([r[c] for c in clashing] == list(range(len(clashing))) for r in rows)
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in plain.collect())
+
+
 def test_pipeline_keeps_other_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
     extra = docs.selectExpr("*", "1 as score", "'x' as lang_pred", "2 as n_words", "true as kept", "3 as h1", "null as component_id")
