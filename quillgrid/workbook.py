@@ -19,6 +19,7 @@ from .functions import formulas, refs
 from .operators.index import Index
 from .operators.profiling import profile
 from .operators.relations import Relations, union_sheets
+from .session import shared_dir
 from .sources import layout, projections
 from .sources.cells import scan, value_of
 from .sources.package import Package
@@ -83,7 +84,7 @@ class Workbook:
         if persistent and self._cache:
             return os.fspath(self._cache)
         if self._session_dir is None:
-            self._session_dir = tempfile.TemporaryDirectory(prefix="quillgrid-")
+            self._session_dir = tempfile.TemporaryDirectory(prefix="quillgrid-", dir=shared_dir(self.spark))
         return self._session_dir.name
 
     def _told(self, value):

@@ -107,6 +107,12 @@ def test_command_line(pair, spark, tmp_path, capsys):
         assert main([*base, *bad]) == 2
         assert "error" in json.loads(capsys.readouterr().err.splitlines()[-1])
     assert main([*base, "inspect", "old.xlsx"]) == 0 and main([*base, "read", "old.xlsx", "Hall A", "A1:C2"]) == 0
+    for command in ("formulas", "dependencies", "styles", "validate"):
+        assert main([*base, command, "old.xlsx", "Hall A", "A1:C2"]) == 0
+    assert main([*base, "inspect", "old.xlsx", "--sheet", "Hall A", "--deep", "--limit", "2"]) == main([*base, "patterns", "old.xlsx", "Hall A"]) == main([*base, "find", "old.xlsx", "Weight", "--full"]) == 0
+    (tmp_path / "p.json").write_text(json.dumps([{"operation": "SET_VALUE", "sheet": "Hall A", "cell": "Z9", "value": 4}]))
+    assert main([*base, "patch", "old.xlsx", "p.json", "made.xlsx"]) == 0 and (tmp_path / "made.xlsx").exists()
+    assert main([*base, "patch", "old.xlsx", "p.json", "../made.xlsx"]) == 2
     (tmp_path / "out").mkdir()
     (tmp_path / "link.xlsx").symlink_to("/etc/hosts")
     (tmp_path / "nowhere.xlsx").symlink_to(tmp_path / "missing.xlsx")
