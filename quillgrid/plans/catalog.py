@@ -14,12 +14,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..budget import Budget
 from ..compare import reconcile as compare
 from ..functions import refs
 from ..operators import discovery, profiling, reconcile, relations, search
 from ..session import shared_dir
 from ..sources import projections, xlsx
-from ..sources.export import write_workbook
+from ..sources.export import write_parts, write_workbook
 from ..sources.package import Package
 from ..workbook import Workbook
 
@@ -635,6 +636,13 @@ def workbook_sparse(spark, d):
     return spark.createDataFrame([(k, c["cell"], None if c["value"] is None else str(c["value"])) for k, c in enumerate(got, 1)], "place long, cell string, value string")
 
 
+def _change(numbered: tuple[str, int]) -> tuple:
+    """One line of the exported file, with how many lines are before it."""
+    x = json.loads(numbered[0])
+    sides = [x[s] or {"sheet": None, "values": {}} for s in ("before", "after")]
+    return numbered[1] + 1, x["kind"], x["key"]["ID"], *(s["sheet"] for s in sides), *(s["values"].get("Amount") for s in sides), *(s["values"].get("Status") for s in sides)
+
+
 @query(_SNAPSHOTS + """SELECT row_number() OVER (ORDER BY k0) AS line, kind, k0 AS "ID", before_sheet, after_sheet, b0::VARCHAR AS before_amount, a0::VARCHAR AS after_amount, b1 AS before_status, a1 AS after_status FROM c""")
 def workbook_reconcile(spark, d):
     """Both snapshots of all orders as workbooks, compared; the lines of the exported file in their order."""
@@ -643,14 +651,10 @@ def workbook_reconcile(spark, d):
     for name, rows in zip(("before", "after"), snapshots(spark, d)):
         sheets = sorted(r[0] for r in rows.select("_sheet").distinct().collect())
         paths.append(os.path.join(folder, f"{name}.xlsx"))
-        ranges.append(write_workbook(paths[-1], {s: rows.where(F.col("_sheet") == s).select(*(["ID", "Amount", "Status"] if k % 2 else ["Status", "Amount", "ID"])) for k, s in enumerate(sheets)}, 1_000_000))
+        ranges.append(write_parts(paths[-1], {s: rows.where(F.col("_sheet") == s).select(*(["ID", "Amount", "Status"] if k % 2 else ["Status", "Amount", "ID"])) for k, s in enumerate(sheets)}, 1_000_000))
     out = os.path.join(folder, "changes.jsonl")
     schema = {"ID": "BIGINT", "Amount": "DECIMAL(18,2)", "Status": "VARCHAR"}
-    compare(*paths, before_ranges=ranges[0], after_ranges=ranges[1], schema=schema, keys=["ID"], spark=spark, output=out, cache_dir=folder)
-    told = []
-    with open(out, encoding="utf-8") as f:
-        for n, line in enumerate(f, 1):
-            x = json.loads(line)
-            sides = [x[s] or {"sheet": None, "values": {}} for s in ("before", "after")]
-            told.append((n, x["kind"], x["key"]["ID"], *(s["sheet"] for s in sides), *(s["values"].get("Amount") for s in sides), *(s["values"].get("Status") for s in sides)))
+    budget = Budget(max_chars=Budget().max_chars + len(json.dumps(ranges)))  # the answer repeats the ranges
+    compare(*paths, before_ranges=ranges[0], after_ranges=ranges[1], schema=schema, keys=["ID"], spark=spark, output=out, cache_dir=folder, budget=budget)
+    told = spark.sparkContext.textFile(out).zipWithIndex().map(_change)
     return spark.createDataFrame(told, "line long, kind string, ID long, before_sheet string, after_sheet string, before_amount string, after_amount string, before_status string, after_status string")

@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+from quillgrid.functions import refs
 from quillgrid.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -18,6 +19,14 @@ def norm(v):
     return "NULL" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v)
 
 
+def test_reconciles_tables_beyond_a_sheet(spark, sf, duck, monkeypatch):
+    """Every sheet's table has more rows than a sheet holds here; it goes on over further sheets, and the rows keep its name."""
+    monkeypatch.setattr(refs, "MAX_ROW", 120)
+    rows = catalog.QUERIES["workbook_reconcile"](spark, sf)
+    want = duck.execute(f'SELECT {", ".join(chr(34) + c + chr(34) for c in rows.columns)} FROM ({catalog.ORACLE["workbook_reconcile"]}) ORDER BY line').fetchall()
+    assert sorted(tuple(r) for r in rows.collect()) == want and len(want) > 119
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_equals_sql(name, spark, sf, duck):
     rows = catalog.QUERIES[name](spark, sf)
