@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..errors import EngineError
 
 MAX_ROW, MAX_COL = 1_048_576, 16_384
@@ -42,6 +45,15 @@ def name(row: int, col: int) -> str:
     return f"{column_letters(col)}{row}"
 
 
+def plain(ref: Column) -> Column:
+    """name(*cell(ref)) of a column of references; one that is none, null too, raises."""
+    part = lambda i: F.regexp_extract(ref, r"^\s*\$?([A-Za-z]{1,3})\$?([1-9][0-9]{0,6})\s*$", i)
+    letters, row = F.upper(part(1)), part(2)
+    inside = (F.length(letters) < 3) | (letters <= column_letters(MAX_COL))
+    refused = F.raise_error(F.concat(F.lit("quillgrid.errors.EngineError: not a cell reference: "), F.coalesce(ref, F.lit("null"))))
+    return F.when((letters != "") & inside & (row.try_cast("int") <= MAX_ROW), F.concat(letters, row)).otherwise(refused)
+
+
 @dataclass(frozen=True)
 class Area:
     """A rectangle of cells, both ends included."""

@@ -27,6 +27,16 @@ def test_reconciles_tables_beyond_a_sheet(spark, sf, duck, monkeypatch):
     assert sorted(tuple(r) for r in rows.collect()) == want and len(want) > 119
 
 
+def test_reads_any_number_of_cells(spark, tmp_path):
+    """More cells of a sheet are asked for than a list may have."""
+    c = duckdb.connect()
+    c.execute("CREATE TABLE customer AS SELECT i AS c_custkey, i % 2 + 3 AS c_nationkey, (i / 4)::DOUBLE AS c_acctbal, 'M' || i % 5 AS c_mktsegment FROM range(7000) r(i); CREATE TABLE nation AS SELECT unnest([3, 4, 5]) AS n_nationkey")
+    for t in ("customer", "nation"):
+        c.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    got = sorted(tuple(r) for r in catalog.QUERIES["workbook_sparse"](spark, str(tmp_path)).collect())
+    assert got == c.execute(f"SELECT place, cell, value FROM ({catalog.ORACLE['workbook_sparse']}) ORDER BY place").fetchall() and len(got) == 10500
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_equals_sql(name, spark, sf, duck):
     rows = catalog.QUERIES[name](spark, sf)
